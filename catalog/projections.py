@@ -173,7 +173,7 @@ def replace_errors(t):
 
 
 @query("""
-select year(o_orderdate) as order_year, o_orderpriority, count(*) as n, round(avg(o_totalprice), 4) as mean_price
+select year(o_orderdate) as order_year, o_orderpriority, count(*) as n, round(avg(o_totalprice), 8) as mean_price
 from orders where o_orderstatus <> 'P' group by all
 """)
 def pipeline_job(t):
@@ -183,7 +183,7 @@ def pipeline_job(t):
         {"aggregate": {"groupby": ["order_year", "o_orderpriority"], "rollup": {"n": "count", "mean_price": ["mean", "o_totalprice"]}}},
         {"sort": [{"field": "order_year", "order": "desc"}, {"field": "o_orderpriority", "order": "asc"}]},
     ]
-    return rounded(jobs.run_steps(t.orders, steps), 4, "mean_price")
+    return rounded(jobs.run_steps(t.orders, steps), 8, "mean_price")
 
 
 @query("""

@@ -201,7 +201,8 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
     values = df.select(_finite(df, column).alias("v")).filter(F.col("v").isNotNull())
     span = values.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
     width = (span["high"] - span["low"]) / F.lit(bins)
-    bin_of = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - span["low"], width)), F.lit(bins - 1)), F.lit(0))
+    steps = F.floor(F.try_divide(F.col("v") - span["low"], width))
+    bin_of = F.when(width > 0, F.least(steps, F.lit(bins - 1))).otherwise(0)
     counts = values.groupBy(bin_of.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return counts.select(
         "bin",

@@ -10,18 +10,22 @@ values come from an aggregate. Results are the same either way.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.layout import CNT, RN, attach, hot_groups, hot_limit, number_large, split_hot
-from ..plans.names import Order, free_name, order_items, ref, require_columns, sort_columns, total_order
+from ..plans.names import Order, order_items, ref, require_columns, sort_columns, total_order
 from ..streaming import require_batch
 
 RANKING = ("row_number", "rank", "dense_rank", "avg_rank", "percent_rank", "cume_dist", "ntile")
+PEER_RANKS = ("rank", "dense_rank", "avg_rank", "percent_rank", "cume_dist")
 OFFSET = ("lag", "lead")
 WHOLE = ("first_value", "last_value", "nth_value")
 FILL = ("fill_down", "fill_up")
@@ -82,13 +86,19 @@ def window(
     ROWS offsets, ``None`` is unbounded. Ranking, offsets and first / last / nth
     see the whole group. Ties of the order are broken by the other columns,
     except in rank, dense_rank, avg_rank, percent_rank and cume_dist, where they
-    count as peers. ``median`` and ``mode`` have no merge step, so inside a group
-    above the hot limit they are supported for bounded and whole-group frames in
-    blocks, and a half-unbounded frame there stays a single-task window.
+    count as peers. The one combination without a distributed form is a median
+    over a half-unbounded frame: it is refused in groups above the hot limit.
     """
     require_batch(df, "window")
     keys, specs = list(partition_by), parse_specs(derive, frames)
     require_columns(df, [*keys, *[s.column for s in specs if s.column]])
+    half = [s for s in specs if s.fn in ("median", "mode") and s.frame != TOTAL and None in s.frame]
+    if half:
+        return _half_unbounded(df, specs, half, order_by, keys)
+    return _windows(df, specs, order_by, keys)
+
+
+def _windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: list[str]) -> DataFrame:
     hot = hot_groups(df, keys)
     if hot is None:
         return plain_windows(df, specs, order_by, keys)
@@ -102,6 +112,92 @@ def window(
     )
 
 
+# Half-unbounded median and mode ----------------------------------------------
+
+
+def _half_unbounded(df: DataFrame, specs, half, order_by: Order, keys: list[str]) -> DataFrame:
+    """Each such column apart, then the others; helper names are dropped at the end."""
+    order = [(n, "desc" if d else "asc") for n, d in total_order(df, order_by)]
+    out = df
+    made = {}
+    for i, s in enumerate(half):
+        made[s.out] = f"__half{i}"
+        step = _running_mode if s.fn == "mode" else _running_median
+        out = step(out, s, made[s.out], order, keys)
+    rest = [s for s in specs if s not in half]
+    helpers = list(made.values())
+    if rest:
+        ranked = [s for s in rest if s.fn in PEER_RANKS]
+        placed = [s for s in rest if s.fn not in PEER_RANKS]
+        out = _windows(out, placed, order, keys) if placed else out
+        out = _windows(out, ranked, order_by, keys) if ranked else out
+    names = [*df.columns, *[s.out for s in specs if s.out not in df.columns]]
+    return out.select(*[F.col(made[n]).alias(n) if n in made else ref(n) for n in names if n not in helpers])
+
+
+def _running_mode(df: DataFrame, s: Spec, out: str, order, keys: list[str]) -> DataFrame:
+    """The mode of all rows up to a row (or from it on), as a running minimum.
+
+    With ``c`` the count of a row's value so far, the mode is the value of the
+    row with the largest ``c`` seen, the smallest such value on a tie.
+    """
+    forward = s.frame[0] is None
+    flip = {"asc": "desc", "desc": "asc"}
+    count_order = order if forward else [(n, flip[d]) for n, d in order]
+    seen, best = f"{out}_seen", f"{out}_best"
+    counted = _windows(df, [Spec(seen, "row_number")], count_order, [*keys, *([] if s.column in keys else [s.column])])
+    pair = F.when(ref(s.column).isNotNull(), F.struct((-F.col(seen)).alias("c"), ref(s.column).alias("v")))
+    counted = counted.withColumn(best, pair)
+    rows = [*order, (seen, "asc" if forward else "desc")]
+    done = _windows(counted, [Spec(out, "min", best, frame=s.frame)], rows, keys)
+    return done.withColumn(out, F.col(out)["v"]).drop(seen, best)
+
+
+def _running_median(df: DataFrame, s: Spec, out: str, order, keys: list[str]) -> DataFrame:
+    """Two heaps per group, in tasks that hold one group of bounded size each."""
+    if hot_groups(df, keys) is not None:
+        raise ValueError(
+            f"{s.out}: a median over a half-unbounded frame needs groups of at most {hot_limit(df.sparkSession)} rows; "
+            "use a bounded or a whole-group frame"
+        )
+    lo, hi = s.frame
+    position = f"{out}_rn"
+    numbered = plain_windows(df, [Spec(position, "row_number")], order, keys)
+    narrow = numbered.select(*[ref(k) for k in keys], F.col(position), ref(s.column).cast("double").alias("__x"))
+    fields = [df.schema[k] for k in keys] + [T.StructField(position, T.LongType()), T.StructField(out, T.DoubleType())]
+
+    def medians(group):
+        group = group.sort_values(position)
+        values = group["__x"].to_numpy()
+        group[out] = prefix_medians(values, hi) if lo is None else prefix_medians(values[::-1], -lo)[::-1]
+        return group.drop(columns="__x")
+
+    found = narrow.groupBy(*[ref(k) for k in keys]).applyInPandas(medians, T.StructType(fields))
+    return attach_rows(numbered, found, [*keys, position]).drop(position)
+
+
+def attach_rows(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """One-to-one join on null-safe keys."""
+    renamed = found.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    cond = [ref(k).eqNullSafe(ref(f"__k_{k}")) for k in keys]
+    return df.join(renamed, reduce(lambda a, b: a & b, cond)).drop(*[f"__k_{k}" for k in keys])
+
+
+def prefix_medians(values, shift: int):
+    """Median of ``values[: i + shift + 1]`` for every i; NaN is missing."""
+    low: list[float] = []
+    high: list[float] = []
+    running = np.full(len(values) + 1, np.nan)
+    for i, x in enumerate(values):
+        if x == x:
+            heapq.heappush(high, -heapq.heappushpop(low, -x))
+            if len(high) > len(low):
+                heapq.heappush(low, -heapq.heappop(high))
+        if low:
+            running[i + 1] = -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2
+    return running[np.clip(np.arange(len(values)) + shift + 1, 0, len(values))]
+
+
 def _with_outputs(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
     return df.select(
         *[outputs[c].alias(c) if c in outputs else ref(c) for c in df.columns],
@@ -212,7 +308,7 @@ def _hot_windows(df: DataFrame, specs, order_by: Order, keys: list[str], rows: i
 def block_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: Sequence[str]) -> DataFrame:
     """The same functions over a numbered table (``__rn``, ``__cnt``)."""
     keys, base = list(keys), [c for c in df.columns]
-    if any(s.fn in ("rank", "dense_rank", "avg_rank", "percent_rank", "cume_dist") for s in specs):
+    if any(s.fn in PEER_RANKS for s in specs):
         df, rank_specs = _rank_marks(df, order_by, keys)
     else:
         rank_specs = []
@@ -234,11 +330,14 @@ def block_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: S
     own = F.floor((F.col(RN) - 1) / size) == F.col(BLK)
     out = out.filter(own)
 
-    for i, s in enumerate(plan):
-        carry = _carry(df, s, i, size, keys)
-        if carry is not None:
-            on = [*keys, BLK] if BLK in carry.columns else keys
-            out = attach(out, carry, on) if on else out.withColumn(f"__c{i}", carry.scalar())
+    for carry in _carries(df, plan, size, keys):
+        on = [*keys, BLK] if BLK in carry.columns else keys
+        if on:
+            out = attach(out, carry, on)
+        else:
+            parts = carry.columns
+            out = out.withColumn("__whole", carry.select(F.struct(*parts)).scalar())
+            out = out.withColumns({c: F.col("__whole")[c] for c in parts})
 
     values = {s.out: _merged(s, i) for i, s in enumerate(plan)}
     result = out.select(*[c for c in df.columns if c not in values], *[v.alias(k) for k, v in values.items()])
@@ -293,9 +392,6 @@ def _block_value(df, s: Spec, i: int, size: int, block, keys) -> dict[str, Colum
         return {}
     if lo is not None and hi is not None:
         return {name: _frame_value(s, block.rowsBetween(lo, hi))}
-    if s.fn in ("median", "mode"):
-        whole = Window.partitionBy(*[ref(k) for k in keys]).orderBy(RN).rowsBetween(*_bounds(lo, hi))
-        return {name: _frame_value(s, whole, own)}
     frame = block.rowsBetween(*_bounds(lo, hi))
     if lo is None:
         visible = F.col(RN) >= own_first + min(hi, 0)
@@ -322,50 +418,78 @@ def _moments(s: Spec, visible: Column | None = None) -> dict[str, Column]:
     return {"n": F.count(d), "mean": F.avg(d), "var": F.var_pop(d)}
 
 
-def _carry(df: DataFrame, s: Spec, i: int, size: int, keys: list[str]) -> DataFrame | None:
-    """What the other blocks (or the whole group) contribute, one row per block (or group)."""
-    name, group = f"__c{i}", [ref(k) for k in keys]
-    if s.fn in WHOLE:
-        at = {"first_value": F.lit(1), "last_value": F.col(CNT)}.get(s.fn)
-        at = F.lit(int(s.args[0])) if at is None else at
-        return df.filter(F.col(RN) == at).select(*group, ref(s.column).alias(name))
-    if s.fn in FRAMED and s.frame == TOTAL:
-        if s.fn in ("median", "mode"):
-            from .aggregate import aggregate
-
-            return aggregate(df, {name: (s.fn, s.column)}, keys, round_digits=None)
-        return df.groupBy(*group).agg(_plain_aggregate(s).alias(name))
-    blk_window = Window.partitionBy(*group).orderBy(BLK)
-    if s.fn in FILL:
-        c = fillable(df, s.column)
-        edge = F.max_by if s.fn == "fill_down" else F.min_by
-        per_block = _by_block(df, size, 0).groupBy(*group, BLK).agg(
-            edge(F.struct(ref(s.column).alias("v")), F.when(c.isNotNull(), F.col(RN))).alias("__e")
-        )
+def _carries(df: DataFrame, plan: Sequence[Spec], size: int, keys: list[str]) -> list[DataFrame]:
+    """What other blocks contribute, one row per block, and whole-group values, one row per group.
+
+    Everything that shares a blocking is one aggregate, so the written table is
+    scanned a few times however many columns are derived.
+    """
+    group = [ref(k) for k in keys]
+    whole: list[Column] = []
+    tables: list[DataFrame] = []
+    blocked: dict[int, list[tuple[int, Spec]]] = {}
+    for i, s in enumerate(plan):
+        name = f"__c{i}"
+        if s.fn in WHOLE:
+            at = {"first_value": F.lit(1), "last_value": F.col(CNT)}.get(s.fn)
+            at = F.lit(int(s.args[0])) if at is None else at
+            whole.append(F.max(F.when(F.col(RN) == at, F.struct(ref(s.column).alias("v"))))["v"].alias(name))
+        elif s.fn in FRAMED and s.frame == TOTAL:
+            if s.fn in ("median", "mode"):
+                from .aggregate import aggregate
+
+                tables.append(aggregate(df, {name: (s.fn, s.column)}, keys, round_digits=None))
+            else:
+                whole.append(_plain_aggregate(s).alias(name))
+        elif s.fn in FILL:
+            blocked.setdefault(0, []).append((i, s))
+        elif s.fn in MERGEABLE and None in s.frame:
+            blocked.setdefault(_shift(s), []).append((i, s))
+    if whole:
+        tables.append(df.groupBy(*group).agg(*whole))
+    for shift, members in blocked.items():
+        tables.append(_block_carry(df, members, size, shift, group))
+    return tables
+
+
+def _shift(s: Spec) -> int:
+    """Blocks of a carry end where the frame of a block's first (or last) row ends."""
+    lo, hi = s.frame
+    return -min(hi, 0) if lo is None else -max(lo, 0)
+
+
+def _block_carry(df: DataFrame, members, size: int, shift: int, group: list[Column]) -> DataFrame:
+    parts: list[Column] = []
+    for i, s in members:
+        if s.fn in FILL:
+            edge = F.max_by if s.fn == "fill_down" else F.min_by
+            here = F.when(fillable(df, s.column).isNotNull(), F.col(RN))
+            parts.append(edge(F.struct(ref(s.column).alias("v")), here).alias(f"__p{i}"))
+        else:
+            parts += [v.alias(f"__p{i}_{k}") for k, v in _moments(s).items()]
+    per_block = _by_block(df, size, shift).groupBy(*group, BLK).agg(*parts)
+    ordered = Window.partitionBy(*group).orderBy(BLK)
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    later = ordered.rowsBetween(1, Window.unboundedFollowing)
+    merged: list[Column] = []
+    for i, s in members:
         if s.fn == "fill_down":
-            value = F.last("__e", True).over(blk_window.rowsBetween(Window.unboundedPreceding, -1))
+            merged.append(F.last(f"__p{i}", True).over(earlier)["v"].alias(f"__c{i}"))
+        elif s.fn == "fill_up":
+            merged.append(F.first(f"__p{i}", True).over(later)["v"].alias(f"__c{i}"))
         else:
-            value = F.first("__e", True).over(blk_window.rowsBetween(1, Window.unboundedFollowing))
-        return per_block.select(*group, BLK, value["v"].alias(name))
-    if s.fn not in MERGEABLE or (s.frame[0] is not None and s.frame[1] is not None):
-        return None
-    lo, hi = s.frame
-    prefix = lo is None
-    shift = -min(hi, 0) if prefix else -max(lo, 0)
-    per_block = _by_block(df, size, shift).groupBy(*group, BLK).agg(
-        *[v.alias(f"__p_{k}") for k, v in _moments(s).items()]
-    )
-    w = blk_window.rowsBetween(*((Window.unboundedPreceding, -1) if prefix else (1, Window.unboundedFollowing)))
-    return per_block.select(*group, BLK, *[v.alias(f"{name}_{k}") for k, v in _merge_over(s, w).items()])
+            w = earlier if s.frame[0] is None else later
+            merged += [v.alias(f"__c{i}_{k}") for k, v in _merge_over(s, i, w).items()]
+    return per_block.select(*group, BLK, *merged)
 
 
 def _by_block(df: DataFrame, size: int, shift: int) -> DataFrame:
     return df.withColumn(BLK, F.floor((F.col(RN) - 1 + shift) / size).cast("long"))
 
 
-def _merge_over(s: Spec, w) -> dict[str, Column]:
+def _merge_over(s: Spec, i: int, w) -> dict[str, Column]:
     """`_moments` of many blocks merged over a window of blocks."""
-    p = {k: F.col(f"__p_{k}") for k in ("n", "sum", "min", "max", "product", "mean", "var")}
+    p = {k: F.col(f"__p{i}_{k}") for k in ("n", "sum", "min", "max", "product", "mean", "var")}
     if s.fn == "count":
         return {"n": F.sum(p["n"]).over(w)}
     if s.fn in ("min", "max"):
@@ -483,4 +607,4 @@ def _rank_value(s: Spec) -> Column:
     return F.when(cnt > 1, (start - 1) / (cnt - 1)).otherwise(F.lit(0.0))
 
 
-__all__ = ["Spec", "block_windows", "free_name", "parse_specs", "plain_windows", "window"]
+__all__ = ["Spec", "block_windows", "parse_specs", "plain_windows", "window"]

@@ -48,7 +48,7 @@ def read_csv(
     says whether the first row is a header to drop). Values are typed by one
     pass over all rows, or by ``column_types`` without that pass. Short rows end
     in nulls, long rows lose the excess; ``keep_ragged`` keeps such rows' text in
-    ``_ragged`` and ``strict`` fails on them. Quoted line breaks need
+    ``_ragged`` (to be read beside another column) and ``strict`` fails on them. Quoted line breaks need
     ``multiline``, which keeps Spark from splitting a file.
     """
     if header not in HEADER_MODES:
@@ -68,7 +68,8 @@ def read_csv(
     fields = [T.StructField(c, T.StringType()) for c in columns]
     if keep_ragged:
         fields.append(T.StructField(RAGGED, T.StringType()))
-    df = spark.read.csv(
+    # A row's shape is only judged when all its columns are parsed.
+    df = spark.read.options(columnPruning=not (keep_ragged or strict)).csv(
         path,
         schema=T.StructType(fields),
         sep=sep,
