@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Text accepted as a number, and as a date outside ISO form.
+# White space at the ends of text, text accepted as a number, and
+# as a date outside ISO form.
+WHITE_SPACE = " \t\n\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 EXTRA_DATETIME_FORMATS = (
     "yyyy/M/d",

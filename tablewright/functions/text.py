@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import as_text, col, false_if_null, quote_regex, value
+from .base import WHITE_SPACE, as_text, col, false_if_null, quote_regex, value
 
 
 def upper(s) -> Column:
@@ -22,7 +22,7 @@ def titlecase(s) -> Column:
 
 def trim(s) -> Column:
     """Strips every kind of white space, not only blanks."""
-    return F.regexp_replace(F.regexp_replace(as_text(s), r"^\s+", ""), r"\s+$", "")
+    return F.trim(as_text(s), F.lit(WHITE_SPACE))
 
 
 def substring(s, start, length=None) -> Column:

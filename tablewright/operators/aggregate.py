@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.layout import CNT, RN, broadcast_if_small, hot_groups, number_large, split_hot
+from ..plans.layout import CNT, RN, hot_groups, number_large, split_hot
 from ..plans.names import Order, order_items, ref, require_columns, require_free, total_order
 from ..streaming import require_batch
 
@@ -142,6 +142,20 @@ def _fn(spec) -> str:
 
 
 def _one_pass(df, specs, keys, order_by, approx, round_digits) -> DataFrame:
+    """Plain aggregates. Exact distinct counts run beside collected buffers, not with them:
+
+    Spark counts distinct values by grouping by them first, which would keep one
+    buffer of every other aggregate per value.
+    """
+    distinct = {o: s for o, s in specs.items() if s[0] == "distinct" and not approx}
+    rest = {o: s for o, s in specs.items() if o not in distinct}
+    if distinct and any(fn in (*BUFFERED, *ORDERED, "array_agg_distinct") for fn, _ in rest.values()):
+        parts = [_grouped(df, part, keys, order_by, approx, round_digits) for part in (rest, distinct)]
+        return _side_by_side(parts, keys, list(specs))
+    return _grouped(df, specs, keys, order_by, approx, round_digits)
+
+
+def _grouped(df, specs, keys, order_by, approx, round_digits) -> DataFrame:
     columns = []
     for out, (fn, name) in specs.items():
         if fn in ORDERED:
@@ -152,6 +166,21 @@ def _one_pass(df, specs, keys, order_by, approx, round_digits) -> DataFrame:
     return df.groupBy(*[ref(k) for k in keys]).agg(*columns)
 
 
+def _side_by_side(parts: Sequence[DataFrame], keys: Sequence[str], outputs: Sequence[str]) -> DataFrame:
+    """Aggregates of the same groups as one table."""
+    result = parts[0]
+    for i, part in enumerate(parts[1:]):
+        values = [c for c in part.columns if c not in keys]
+        if keys:
+            renamed = part.select(*[ref(k).alias(f"__k{i}_{k}") for k in keys], *[ref(v) for v in values])
+            cond = [ref(k).eqNullSafe(ref(f"__k{i}_{k}")) for k in keys]
+            result = result.join(renamed, functools.reduce(lambda a, b: a & b, cond))
+        else:
+            row = part.select(F.struct(*[ref(v) for v in values])).scalar()
+            result = result.withColumns({v: row[v] for v in values})
+    return result.select(*[ref(c) for c in [*keys, *outputs]])
+
+
 def _finish(df, fn: str, name: str | None, c: Column, digits: int | None) -> Column:
     numeric = fn in ("sum", "mean", "average", "median", "stdev", "variance", "stdevp", "variancep", "product")
     keeps_type = fn in ("min", "max", "mode", "any", "first", "last") and name and _is_floating(df, name)
@@ -169,15 +198,7 @@ def _in_parts(df, specs, keys, order_by, approx, round_digits, hot) -> DataFrame
             value = large_mode(df, name, keys) if fn == "mode" else large_percentiles(df, name, keys, [0.5], hot)
             source = "mode" if fn == "mode" else "p0"
             parts.append(value.select(*[ref(k) for k in keys], _finish(df, fn, name, F.col(source), round_digits).alias(out)))
-    result = parts[0]
-    for i, part in enumerate(parts[1:]):
-        renamed = part.select(*[ref(k).alias(f"__k{i}_{k}") for k in keys], *[c for c in part.columns if c not in keys])
-        cond = [ref(k).eqNullSafe(ref(f"__k{i}_{k}")) for k in keys]
-        if keys:
-            result = result.join(broadcast_if_small(renamed), functools.reduce(lambda a, b: a & b, cond))
-        else:
-            result = result.withColumn(part.columns[0], part.scalar())
-    return result.select(*[ref(c) for c in [*keys, *specs]])
+    return _side_by_side(parts, keys, list(specs))
 
 
 def large_mode(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.base import num, value
 from ..functions.logic import ERROR_SUFFIX
 from ..plans.layout import CNT, RN, hot_groups, number_large
-from ..plans.names import Order, ref, require_columns, sort_columns, total_order
+from ..plans.names import Order, ref, require_columns, total_order
 from ..streaming import require_batch
 from .aggregate import aggregate
-from .window import Spec, block_windows, window
+from .window import Spec, block_windows, plain_windows, window
 
 STATISTICS = ("mean", "median", "min", "max")
 NEIGHBOUR = ("forwardFill", "backwardFill", "linearInterpolation")
@@ -89,23 +89,13 @@ def _interpolated(kept: DataFrame, column: str, order_by, columns) -> DataFrame:
     """Between the nearest numeric neighbours, by row position."""
     hot = hot_groups(kept, [])
     if hot is None:
-        w = Window.orderBy(*sort_columns(total_order(kept, order_by)))
-        numbered = kept.withColumn(RN, F.row_number().over(w).cast("long"))
-        numbered = numbered.withColumn(CNT, F.lit(None).cast("long"))
+        numbered = plain_windows(kept, [Spec(RN, "row_number")], order_by, []).withColumn(CNT, F.lit(None).cast("long"))
     else:
         numbered = number_large(kept, [], order_by, hot.first()[CNT])
     point = F.when(num(F.col("__kept")).isNotNull(), F.struct(num(F.col("__kept")).alias("v"), F.col(RN).alias("at")))
     numbered = numbered.withColumn("__point", point)
-    if hot is None:
-        w = Window.orderBy(RN)
-        full = numbered.select(
-            "*",
-            F.last("__point", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__before"),
-            F.first("__point", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("__after"),
-        )
-    else:
-        specs = [Spec("__before", "fill_down", "__point"), Spec("__after", "fill_up", "__point")]
-        full = block_windows(numbered, specs, RN, [])
+    specs = [Spec("__before", "fill_down", "__point"), Spec("__after", "fill_up", "__point")]
+    full = plain_windows(numbered, specs, RN, []) if hot is None else block_windows(numbered, specs, RN, [])
     a, b = F.col("__before"), F.col("__after")
     between = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col(RN) - a["at"], b["at"] - a["at"])
     kind = kept.schema[column].dataType

@@ -75,7 +75,6 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], percentiles: str = "e
         aggs += [
             F.count_if(_empty(df, c)).alias(f"nulls_{i}"),
             F.count_if(_failed(df, c)).alias(f"errors_{i}"),
-            F.count_distinct(F.when(~_empty(df, c), ref(c))).alias(f"unique_{i}"),
             F.min(v).alias(f"min_{i}"),
             F.max(v).alias(f"max_{i}"),
             F.avg(v).alias(f"mean_{i}"),
@@ -85,6 +84,9 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], percentiles: str = "e
             ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
             aggs.append((F.percentile if percentiles == "exact" else F.percentile_approx)(v, ps).alias(f"q_{i}"))
     wide = df.agg(*aggs)
+    uniques = [F.count_distinct(F.when(~_empty(df, c), ref(c))).alias(f"unique_{i}") for i, c in enumerate(columns)]
+    counted = df.agg(F.struct(*uniques)).scalar()
+    wide = wide.withColumns({f"unique_{i}": counted[f"unique_{i}"] for i in range(len(columns))})
     if hot is not None:
         for i, c in enumerate(columns):
             found = large_percentiles(df.select(values[i].alias("v")), "v", [], [0.25, 0.5, 0.75], hot)

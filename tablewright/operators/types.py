@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from ..functions.base import NUMBER_TEXT, as_ts
 from ..functions.logic import ERROR_SUFFIX
-from ..functions.text import trim
 from ..plans.names import ref
 from ..streaming import require_batch
 
@@ -27,8 +26,8 @@ LOGICAL_TYPES = {
     "datetime": "timestamp_ntz",
     "json": "string",
 }
-TRUE_WORDS = ("true", "1", "yes", "y", "on")
-FALSE_WORDS = ("false", "0", "no", "n", "off")
+TRUE_TEXT = r"^\s*(?i:true|1|yes|y|on)\s*$"
+FALSE_TEXT = r"^\s*(?i:false|0|no|n|off)\s*$"
 
 # Shapes of text that inference recognizes.
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
@@ -36,6 +35,7 @@ LEADING_ZERO_TEXT = r"^\s*[+-]?0\d+"
 DATETIME_TEXT = r"^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?\s*$"
 DATE_TEXT = r"^\s*(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4})\s*$"
 JSON_TEXT = r"^\s*[\[{]"
+BOOLEAN_TEXT = r"^\s*(?i:true|false)\s*$"
 
 
 def physical_type(t: T.DataType) -> str:
@@ -112,8 +112,8 @@ def to_boolean(c: Column, kind: str) -> Column:
         return (n != 0) & ~F.isnan(n) & (F.abs(n) < float("inf"))
     if kind in ("date", "datetime"):
         return F.when(c.isNotNull(), True)
-    word = F.lower(trim(c))
-    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False).otherwise(_number(word, "string") != 0)
+    text = c.cast("string")
+    return F.when(text.rlike(TRUE_TEXT), True).when(text.rlike(FALSE_TEXT), False).otherwise(_number(text, "string") != 0)
 
 
 def to_date(c: Column, kind: str) -> Column:
@@ -168,45 +168,52 @@ def types(df: DataFrame, targets: dict[str, str], errors: bool = False) -> DataF
     return df.withColumns(new) if new else df
 
 
+# What one cell's text looks like; a column's answer is the set of classes in it.
+BOOLEAN, INTEGER, ZERO_LED, FLOAT, JSON, BAD_JSON, DATETIME, DATE, OTHER = (1 << i for i in range(9))
+
+
+def _text_class(c: Column) -> Column:
+    """One class per cell, 0 when empty. The first fitting branch ends the work."""
+    finite = F.abs(c.try_cast("double")) < float("inf")
+    return (
+        F.when(c.isNull() | (c == ""), 0)
+        .when(c.rlike(NUMBER_TEXT), F.when(c.rlike(LEADING_ZERO_TEXT), ZERO_LED).when(c.rlike(INTEGER_TEXT), INTEGER).when(finite, FLOAT).otherwise(OTHER))
+        .when(c.rlike(JSON_TEXT), F.when(F.try_parse_json(c).isNotNull(), JSON).otherwise(BAD_JSON))
+        .when(c.rlike(DATE_TEXT), DATE)
+        .when(c.rlike(DATETIME_TEXT), DATETIME)
+        .when(c.rlike(BOOLEAN_TEXT), BOOLEAN)
+        .otherwise(OTHER)
+    )
+
+
+def _column_type(seen: int, keep_leading_zeros: bool) -> str:
+    def only(*classes: int) -> bool:
+        return seen != 0 and seen & ~sum(classes) == 0
+
+    zero_led = () if keep_leading_zeros else (ZERO_LED,)
+    if only(JSON, BAD_JSON):
+        return "json" if seen & JSON else "string"
+    if only(BOOLEAN):
+        return "boolean"
+    if only(INTEGER, *zero_led):
+        return "integer"
+    if only(INTEGER, FLOAT, *zero_led):
+        return "float"
+    if only(DATE):
+        return "date"
+    return "datetime" if only(DATE, DATETIME) else "string"
+
+
 def infer_types(df: DataFrame, keep_leading_zeros: bool = True) -> dict[str, str]:
     """Logical type of every column, text columns by their values.
 
-    One aggregate over all rows and all text columns; a type holds only if every
-    present value has it.
+    One aggregate over all rows and all text columns: the union of the classes of
+    a column's cells. A type holds only if every present value has it.
     """
     require_batch(df, "infer_types")
     found = physical_schema(df)
     texts = [c for c, t in found.items() if t == "string"]
-    if not texts:
-        return found
-    counts = []
-    for i, name in enumerate(texts):
-        c = ref(name).cast("string")
-        here = c.isNotNull() & (c != "")
-        number = c.rlike(NUMBER_TEXT) & (F.abs(c.try_cast("double")) < float("inf"))
-        if keep_leading_zeros:
-            number = number & ~c.rlike(LEADING_ZERO_TEXT)
-        looks_json = c.rlike(JSON_TEXT)
-        rules = {
-            "n": here,
-            "boolean": here & F.lower(trim(c)).isin("true", "false"),
-            "integer": here & number & c.rlike(INTEGER_TEXT),
-            "float": here & number,
-            "json": here & looks_json,
-            "json_ok": here & looks_json & F.try_parse_json(F.when(looks_json, c)).isNotNull(),
-            "datetime": here & c.rlike(DATETIME_TEXT),
-            "date": here & c.rlike(DATE_TEXT),
-        }
-        counts += [F.count_if(rule).alias(f"{i}_{k}") for k, rule in rules.items()]
-    row = df.agg(*counts).first()
-    for i, name in enumerate(texts):
-        n = row[f"{i}_n"]
-
-        def every(kind: str) -> bool:
-            return n > 0 and row[f"{i}_{kind}"] == n
-
-        if every("json") and row[f"{i}_json_ok"] > 0:
-            found[name] = "json"
-        else:
-            found[name] = next((k for k in ("boolean", "integer", "float", "datetime", "date") if every(k)), "string")
+    if texts:
+        row = df.agg(*[F.bit_or(_text_class(ref(c).cast("string"))) for c in texts]).first()
+        found |= {c: _column_type(seen or 0, keep_leading_zeros) for c, seen in zip(texts, row)}
     return found

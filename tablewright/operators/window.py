@@ -213,25 +213,30 @@ def plain_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: S
     group = Window.partitionBy(*part)
     peers = group.orderBy(*sort_columns(order_items(order_by)))
     rows = group.orderBy(*sort_columns(total_order(df, order_by)))
+    back = group.orderBy(*sort_columns(total_order(df, order_by), reverse=True))
     same_key = Window.partitionBy(*part, *[ref(n) for n, _ in order_items(order_by)])
     outputs = {}
     for s in specs:
         if s.fn in RANKING:
             outputs[s.out] = _plain_rank(s, rows, peers, same_key)
         elif s.fn in FRAMED:
-            frame = _bounds(*s.frame)
-            w = group if s.frame == TOTAL else rows.rowsBetween(*frame)
-            outputs[s.out] = _frame_value(s, w)
+            outputs[s.out] = _frame_value(s, group if s.frame == TOTAL else _framed(rows, back, *s.frame))
         else:
-            outputs[s.out] = _positional(df, s, rows)
+            outputs[s.out] = _positional(df, s, rows, back)
     return _with_outputs(df, outputs)
 
 
-def _bounds(lo: int | None, hi: int | None) -> tuple[int, int]:
-    return (
-        Window.unboundedPreceding if lo is None else lo,
-        Window.unboundedFollowing if hi is None else hi,
-    )
+def _framed(rows, back, lo: int | None, hi: int | None):
+    """ROWS frame. One that reaches the end is taken from the reversed order.
+
+    Spark evaluates a growing frame in one pass, but starts a shrinking one again
+    for every row.
+    """
+    if lo is None:
+        return rows.rowsBetween(Window.unboundedPreceding, hi)
+    if hi is None:
+        return back.rowsBetween(Window.unboundedPreceding, -lo)
+    return rows.rowsBetween(lo, hi)
 
 
 def _plain_rank(s: Spec, rows, peers, same_key) -> Column:
@@ -246,7 +251,7 @@ def _plain_rank(s: Spec, rows, peers, same_key) -> Column:
     return (F.percent_rank if s.fn == "percent_rank" else F.cume_dist)().over(peers)
 
 
-def _positional(df: DataFrame, s: Spec, rows) -> Column:
+def _positional(df: DataFrame, s: Spec, rows, back) -> Column:
     c = ref(s.column)
     everything = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if s.fn in OFFSET:
@@ -260,8 +265,8 @@ def _positional(df: DataFrame, s: Spec, rows) -> Column:
     if s.fn == "nth_value":
         return F.nth_value(c, int(s.args[0])).over(everything)
     if s.fn == "fill_down":
-        return F.last(fillable(df, s.column), ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, 0))
-    return F.first(fillable(df, s.column), ignorenulls=True).over(rows.rowsBetween(0, Window.unboundedFollowing))
+        return F.last(fillable(df, s.column), ignorenulls=True).over(_framed(rows, back, None, 0))
+    return F.last(fillable(df, s.column), ignorenulls=True).over(_framed(rows, back, 0, None))
 
 
 def fillable(df: DataFrame, name: str) -> Column:
@@ -323,9 +328,10 @@ def block_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: S
     blocks = _with_neighbours(df, size, before, after)
 
     outputs: dict[str, Column] = {}
-    block = Window.partitionBy(*[ref(k) for k in keys], BLK).orderBy(RN)
+    members = Window.partitionBy(*[ref(k) for k in keys], BLK)
+    block, back = members.orderBy(RN), members.orderBy(F.col(RN).desc())
     for i, s in enumerate(plan):
-        outputs.update(_block_value(df, s, i, size, block, keys))
+        outputs.update(_block_value(df, s, i, size, block, back))
     out = blocks.select(*blocks.columns, *[v.alias(k) for k, v in outputs.items()])
     own = F.floor((F.col(RN) - 1) / size) == F.col(BLK)
     out = out.filter(own)
@@ -373,26 +379,25 @@ def _with_neighbours(df: DataFrame, size: int, before: int, after: int) -> DataF
     return df.withColumn(BLK, F.explode(F.array_compact(F.array(*copies))))
 
 
-def _block_value(df, s: Spec, i: int, size: int, block, keys) -> dict[str, Column]:
+def _block_value(df, s: Spec, i: int, size: int, block, back) -> dict[str, Column]:
     """Window columns of one spec inside a block, named ``__v<i>…``."""
     name = f"__v{i}"
     if s.fn in OFFSET:
-        return {name: _positional(df, s, block)}
+        return {name: _positional(df, s, block, back)}
     if s.fn in WHOLE:
         return {}
     own_first, own_last = F.col(BLK) * size + 1, (F.col(BLK) + 1) * size
     own = F.col(RN).between(own_first, own_last)
     if s.fn in FILL:
         c = F.when(own, fillable(df, s.column))
-        if s.fn == "fill_down":
-            return {name: F.last(c, True).over(block.rowsBetween(Window.unboundedPreceding, 0))}
-        return {name: F.first(c, True).over(block.rowsBetween(0, Window.unboundedFollowing))}
+        reach = (None, 0) if s.fn == "fill_down" else (0, None)
+        return {name: F.last(c, True).over(_framed(block, back, *reach))}
     lo, hi = s.frame
     if s.frame == TOTAL:
         return {}
     if lo is not None and hi is not None:
-        return {name: _frame_value(s, block.rowsBetween(lo, hi))}
-    frame = block.rowsBetween(*_bounds(lo, hi))
+        return {name: _frame_value(s, _framed(block, back, lo, hi))}
+    frame = _framed(block, back, lo, hi)
     if lo is None:
         visible = F.col(RN) >= own_first + min(hi, 0)
     else:
@@ -468,15 +473,15 @@ def _block_carry(df: DataFrame, members, size: int, shift: int, group: list[Colu
         else:
             parts += [v.alias(f"__p{i}_{k}") for k, v in _moments(s).items()]
     per_block = _by_block(df, size, shift).groupBy(*group, BLK).agg(*parts)
-    ordered = Window.partitionBy(*group).orderBy(BLK)
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    later = ordered.rowsBetween(1, Window.unboundedFollowing)
+    whole = Window.partitionBy(*group)
+    forward, back = whole.orderBy(BLK), whole.orderBy(F.col(BLK).desc())
+    earlier, later = _framed(forward, back, None, -1), _framed(forward, back, 1, None)
     merged: list[Column] = []
     for i, s in members:
         if s.fn == "fill_down":
             merged.append(F.last(f"__p{i}", True).over(earlier)["v"].alias(f"__c{i}"))
         elif s.fn == "fill_up":
-            merged.append(F.first(f"__p{i}", True).over(later)["v"].alias(f"__c{i}"))
+            merged.append(F.last(f"__p{i}", True).over(later)["v"].alias(f"__c{i}"))
         else:
             w = earlier if s.frame[0] is None else later
             merged += [v.alias(f"__c{i}_{k}") for k, v in _merge_over(s, i, w).items()]
