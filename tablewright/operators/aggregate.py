@@ -3,7 +3,7 @@
 Everything is built from aggregates that combine on the map side, so one key may
 hold any share of the rows. ``mode`` and ``median`` are the exceptions in Spark
 (one buffer with every distinct value of the group); for groups above the hot
-limit they are computed from value counts and from row positions instead.
+limit they are computed from value counts and from bracketed ranks instead.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.layout import CNT, RN, hot_groups, number_large, split_hot
+from ..plans.layout import CNT, attach, hot_groups, hot_limit, side_by_side, split_hot, stage
 from ..plans.names import Order, order_items, ref, require_columns, require_free, total_order
 from ..streaming import require_batch
 
+SKETCH_ACCURACY = 10_000  # a sketch is off by at most one in this many ranks
+
 BUFFERED = ("mode", "median")
 ORDERED = ("first", "last", "array_agg")
 SIMPLE = (
@@ -151,7 +153,7 @@ def _one_pass(df, specs, keys, order_by, approx, round_digits) -> DataFrame:
     rest = {o: s for o, s in specs.items() if o not in distinct}
     if distinct and any(fn in (*BUFFERED, *ORDERED, "array_agg_distinct") for fn, _ in rest.values()):
         parts = [_grouped(df, part, keys, order_by, approx, round_digits) for part in (rest, distinct)]
-        return _side_by_side(parts, keys, list(specs))
+        return side_by_side(parts, keys, list(specs))
     return _grouped(df, specs, keys, order_by, approx, round_digits)
 
 
@@ -166,21 +168,6 @@ def _grouped(df, specs, keys, order_by, approx, round_digits) -> DataFrame:
     return df.groupBy(*[ref(k) for k in keys]).agg(*columns)
 
 
-def _side_by_side(parts: Sequence[DataFrame], keys: Sequence[str], outputs: Sequence[str]) -> DataFrame:
-    """Aggregates of the same groups as one table."""
-    result = parts[0]
-    for i, part in enumerate(parts[1:]):
-        values = [c for c in part.columns if c not in keys]
-        if keys:
-            renamed = part.select(*[ref(k).alias(f"__k{i}_{k}") for k in keys], *[ref(v) for v in values])
-            cond = [ref(k).eqNullSafe(ref(f"__k{i}_{k}")) for k in keys]
-            result = result.join(renamed, functools.reduce(lambda a, b: a & b, cond))
-        else:
-            row = part.select(F.struct(*[ref(v) for v in values])).scalar()
-            result = result.withColumns({v: row[v] for v in values})
-    return result.select(*[ref(c) for c in [*keys, *outputs]])
-
-
 def _finish(df, fn: str, name: str | None, c: Column, digits: int | None) -> Column:
     numeric = fn in ("sum", "mean", "average", "median", "stdev", "variance", "stdevp", "variancep", "product")
     keeps_type = fn in ("min", "max", "mode", "any", "first", "last") and name and _is_floating(df, name)
@@ -198,7 +185,7 @@ def _in_parts(df, specs, keys, order_by, approx, round_digits, hot) -> DataFrame
             value = large_mode(df, name, keys) if fn == "mode" else large_percentiles(df, name, keys, [0.5], hot)
             source = "mode" if fn == "mode" else "p0"
             parts.append(value.select(*[ref(k) for k in keys], _finish(df, fn, name, F.col(source), round_digits).alias(out)))
-    return _side_by_side(parts, keys, list(specs))
+    return side_by_side(parts, keys, list(specs))
 
 
 def large_mode(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
@@ -216,28 +203,65 @@ def large_mode(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
 
 
 def large_percentiles(df: DataFrame, name: str, keys: Sequence[str], ps: Sequence[float], hot: DataFrame) -> DataFrame:
-    """Interpolated percentiles ``p0, p1, …`` by sorting the values across the cluster.
+    """Exact interpolated percentiles ``p0, p1, …`` of large groups, without sorting them.
 
-    Numbers the values of each group, then keeps the two rows around each rank.
+    A sketch of each group brackets every percentile; one more pass counts what
+    lies between the brackets and keeps only the values inside them, a few in ten
+    thousand, from which the exact ranks are read.
     """
     group = [ref(k) for k in keys]
-    values = df.select(*group, _number(df, name).alias("__v"))
-    rows = hot.agg(F.sum(CNT)).first()[0]
-    numbered = number_large(values.filter(F.col("__v").isNotNull()), list(keys), "__v", rows)
+    values = df.select(*group, _number(df, name).alias("__v")).filter(F.col("__v").isNotNull())
+    counts = stage(values.groupBy(*group).agg(F.count(F.lit(1)).alias(CNT)))
+    limit = hot_limit(df.sparkSession)
+    most, least, few = counts.agg(
+        F.max(CNT), F.min(F.when(F.col(CNT) > limit, F.col(CNT))), F.count_if(F.col(CNT) <= limit)
+    ).first()
+    if not keys:
+        return _narrowed(values.withColumn(CNT, F.lit(most)), keys, ps, least) if least else _buffered(values, keys, ps)
+    counted = attach(values, counts, keys)
+    found = [_narrowed(counted.filter(F.col(CNT) > limit), keys, ps, least)] if least else []
+    if few or not found:
+        found.append(_buffered(counted.filter(F.col(CNT) <= limit), keys, ps))
+    names = [f"p{i}" for i in range(len(ps))]
+    return attach(hot.select(*group), functools.reduce(DataFrame.unionByName, found), keys).select(*group, *names)
+
+
+def _buffered(values: DataFrame, keys: Sequence[str], ps: Sequence[float]) -> DataFrame:
+    at = [F.percentile("__v", F.lit(float(p))).alias(f"p{i}") for i, p in enumerate(ps)]
+    return values.groupBy(*[ref(k) for k in keys]).agg(*at)
+
+
+def _narrowed(values: DataFrame, keys: Sequence[str], ps: Sequence[float], fewest: int) -> DataFrame:
+    """`large_percentiles` for groups of at least ``fewest`` values, counted in ``__cnt``."""
+    from .window import window
+
+    group = [ref(k) for k in keys]
+    margin = 2 / SKETCH_ACCURACY + 2 / fewest
+    probes = [F.lit(min(max(p + side * margin, 0.0), 1.0)) for p in ps for side in (-1, 1)]
+    sketch = values.groupBy(*group).agg(F.percentile_approx("__v", F.array(*probes), SKETCH_ACCURACY).alias("__q"))
+    near = attach(values, sketch, keys) if keys else values.withColumn("__q", sketch.scalar())
+    v = F.col("__v")
+    brackets = [(F.col("__q")[2 * i], F.col("__q")[2 * i + 1]) for i in range(len(ps))]
+    inside = functools.reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in brackets])
+    passed = [F.when(hi < v, hi) for _, hi in brackets]
+    # Values between brackets become one cell, placed behind the bracket they passed.
+    cell = F.when(inside, v).otherwise(F.greatest(*passed) if len(passed) > 1 else passed[0])
+    cells = near.groupBy(*group, CNT, cell.alias("__at"), (~inside).alias("__between")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = window(stage(cells), {"__upto": ("sum", "__n")}, ["__at", "__between"], keys)
+    exact = F.when(~F.col("__between"), F.col("__at")).otherwise(
+        F.raise_error(F.lit("a percentile lies outside the sketch's bounds")).cast("double")
+    )
     columns = []
     for i, p in enumerate(ps):
-        at = (F.col(CNT) - 1) * F.lit(float(p)) + 1
-        low, high = F.floor(at), F.ceil(at)
-        a = F.max(F.when(F.col(RN) == low, F.col("__v")))
-        b = F.max(F.when(F.col(RN) == high, F.col("__v")))
-        weight = F.max(at - low)
-        columns.append((a + (b - a) * weight).alias(f"p{i}"))
-    found = numbered.groupBy(*group).agg(*columns)
-    if not keys:
-        return found
-    other = found.select(*[ref(k).alias(f"__m_{k}") for k in keys], *[f"p{i}" for i in range(len(ps))])
-    cond = functools.reduce(lambda a, b: a & b, [ref(k).eqNullSafe(ref(f"__m_{k}")) for k in keys])
-    return hot.select(*group).join(other, cond, "left").select(*group, *[f"p{i}" for i in range(len(ps))])
+        rank = (F.col(CNT) - 1) * F.lit(float(p)) + 1
+
+        def value_at(r: Column) -> Column:
+            holds = (F.col("__upto") >= r) & (F.col("__upto") - F.col("__n") < r)
+            return F.max(F.when(holds, exact))
+
+        low, high = value_at(F.floor(rank)), value_at(F.ceil(rank))
+        columns.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"p{i}"))
+    return ranked.groupBy(*group).agg(*columns)
 
 
 # describe -------------------------------------------------------------------
@@ -283,15 +307,13 @@ def describe(df: DataFrame, columns: Sequence[str], as_temporal: Sequence[str] =
             if s not in ("top", "freq"):
                 fn = {"count": "valid", "unique": "distinct"}.get(s, s)
                 rollup[f"{i}_{s}"] = (fn, c)
-    wide = aggregate(df, rollup)
+    parts = [aggregate(df, rollup)]
     for i, c in enumerate(columns):
         if kinds[c] != "numeric":
             counts = df.filter(ref(c).isNotNull()).groupBy(ref(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            best = counts.agg(F.min_by(F.struct("v", "n"), F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("t"))
-            wide = wide.withColumn(f"{i}_t", best.scalar())
-            wide = wide.withColumn(f"{i}_top", F.col(f"{i}_t")["v"]).withColumn(
-                f"{i}_freq", F.coalesce(F.col(f"{i}_t")["n"], F.lit(0))
-            )
+            best = F.min_by(F.struct("v", "n"), F.struct((-F.col("n")).alias("n"), F.col("v")))
+            parts.append(counts.agg(best["v"].alias(f"{i}_top"), F.coalesce(best["n"], F.lit(0)).alias(f"{i}_freq")))
+    wide = side_by_side(parts, [], [c for part in parts for c in part.columns])
     rows = [
         F.struct(
             F.lit(s).alias("statistic"),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.base import as_ts, num
 from ..functions.dates import date_trunc
 from ..functions.logic import ERROR_SUFFIX
-from ..plans.layout import hot_groups
+from ..plans.layout import hot_groups, side_by_side
 from ..plans.names import ref, require_columns
 from ..streaming import require_batch
 from .aggregate import large_percentiles
@@ -62,8 +62,8 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], percentiles: str = "e
     """One row per column: counts, range, mean, quartiles, population deviation, 3-sigma bounds.
 
     Numeric text counts as numbers. All columns share one pass; above the hot
-    limit the exact quartiles come from a distributed sort of each column, and
-    ``percentiles="approx"`` takes Spark's sketch instead.
+    limit the exact quartiles of each column come from sketched brackets, and
+    ``percentiles="approx"`` takes the sketch alone.
     """
     require_batch(df, "numeric_profile")
     require_columns(df, columns)
@@ -83,14 +83,16 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], percentiles: str = "e
         if hot is None:
             ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
             aggs.append((F.percentile if percentiles == "exact" else F.percentile_approx)(v, ps).alias(f"q_{i}"))
-    wide = df.agg(*aggs)
     uniques = [F.count_distinct(F.when(~_empty(df, c), ref(c))).alias(f"unique_{i}") for i, c in enumerate(columns)]
-    counted = df.agg(F.struct(*uniques)).scalar()
-    wide = wide.withColumns({f"unique_{i}": counted[f"unique_{i}"] for i in range(len(columns))})
+    parts = [df.agg(*aggs), df.agg(*uniques)]
     if hot is not None:
-        for i, c in enumerate(columns):
-            found = large_percentiles(df.select(values[i].alias("v")), "v", [], [0.25, 0.5, 0.75], hot)
-            wide = wide.withColumn(f"q_{i}", found.select(F.array("p0", "p1", "p2")).scalar())
+        # All columns in one set of passes, as groups of a long table.
+        long = df.select(F.posexplode(F.array(*values.values())).alias("c", "v"))
+        ids = hot.select(F.explode(F.array(*[F.lit(i) for i in values])).alias("c"))
+        quartiles = large_percentiles(long, "v", ["c"], [0.25, 0.5, 0.75], ids)
+        q = F.array("p0", "p1", "p2")
+        parts.append(quartiles.agg(*[F.any_value(F.when(F.col("c") == i, q), True).alias(f"q_{i}") for i in values]))
+    wide = side_by_side(parts, [], [c for part in parts for c in part.columns])
 
     def percent(c: Column) -> Column:
         return F.try_divide(c * 100.0, F.col("total_count"))
@@ -149,7 +151,7 @@ def categorical_profile(df: DataFrame, column: str, top: int = TOP_VALUES) -> Da
         F.coalesce(F.sum(F.when(F.col("kind") == "null", F.col("count"))), F.lit(0)).alias("nulls"),
         F.coalesce(F.sum(F.when(F.col("kind") == "error", F.col("count"))), F.lit(0)).alias("errors"),
     )
-    report = sums.withColumn("b", best_rows.scalar())
+    report = side_by_side([sums, best_rows], [], [*sums.columns, "b"])
     shown = F.aggregate("b", F.lit(0).cast("long"), lambda acc, x: acc - x["c"])
     report = report.withColumn("shown", shown)
 
@@ -197,19 +199,19 @@ def boxplot(df: DataFrame, columns: Sequence[str], percentiles: str = "exact") -
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width bins with counts; empty bins are left out. The range is a scalar subquery."""
+    """Equal-width bins with counts; empty bins are left out. The range is found first."""
     require_batch(df, "histogram")
     require_columns(df, [column])
     values = df.select(_finite(df, column).alias("v")).filter(F.col("v").isNotNull())
-    span = values.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
-    width = (span["high"] - span["low"]) / F.lit(bins)
-    steps = F.floor(F.try_divide(F.col("v") - span["low"], width))
+    low, high = (F.lit(x).cast("double") for x in values.agg(F.min("v"), F.max("v")).first())
+    width = (high - low) / F.lit(bins)
+    steps = F.floor(F.try_divide(F.col("v") - low, width))
     bin_of = F.when(width > 0, F.least(steps, F.lit(bins - 1))).otherwise(0)
     counts = values.groupBy(bin_of.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return counts.select(
         "bin",
-        (span["low"] + width * F.col("bin")).alias("low"),
-        (span["low"] + width * (F.col("bin") + 1)).alias("high"),
+        (low + width * F.col("bin")).alias("low"),
+        (low + width * (F.col("bin") + 1)).alias("high"),
         "count",
     )
 

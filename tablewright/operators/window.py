@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.layout import CNT, RN, attach, hot_groups, hot_limit, number_large, split_hot
+from ..plans.layout import CNT, RN, attach, hot_groups, hot_limit, number_large, split_hot, stage
 from ..plans.names import Order, order_items, ref, require_columns, sort_columns, total_order
 from ..streaming import require_batch
 
@@ -341,9 +341,8 @@ def block_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: S
         if on:
             out = attach(out, carry, on)
         else:
-            parts = carry.columns
-            out = out.withColumn("__whole", carry.select(F.struct(*parts)).scalar())
-            out = out.withColumns({c: F.col("__whole")[c] for c in parts})
+            row = stage(carry)  # one row; each reference to a scalar reads it again
+            out = out.withColumns({c: row.select(c).scalar() for c in row.columns})
 
     values = {s.out: _merged(s, i) for i, s in enumerate(plan)}
     result = out.select(*[c for c in df.columns if c not in values], *[v.alias(k) for k, v in values.items()])

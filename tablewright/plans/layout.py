@@ -58,16 +58,12 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint only when a count proves the bound; otherwise AQE chooses."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """A derived table, computed once, with a broadcast hint only if a count proves it small.
 
-
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column | None:
-    cond = None
-    for k in keys:
-        c = left["`" + k + "`"].eqNullSafe(right["`" + k + "`"])
-        cond = c if cond is None else cond & c
-    return cond
+    Otherwise AQE chooses the join.
+    """
+    ready = stage(df)
+    return F.broadcast(ready) if ready.count() <= limit else ready
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -80,6 +76,18 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(renamed, cond, "left").drop(*[f"__k_{k}" for k in keys])
 
 
+def side_by_side(parts: Sequence[DataFrame], keys: Sequence[str], outputs: Sequence[str]) -> DataFrame:
+    """Aggregates of the same groups as one table: a union, regrouped, so null keys meet.
+
+    (A scalar subquery per value would be run again for every reference to it.)
+    """
+    if len(parts) == 1:
+        return parts[0].select(*[ref(c) for c in [*keys, *outputs]])
+    stacked = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    values = [F.any_value(ref(o), True).alias(o) for o in outputs]
+    return stacked.groupBy(*[ref(k) for k in keys]).agg(*values)
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
     """Keys of the groups above the limit with their row counts, or None.
 
@@ -161,6 +169,5 @@ def top(df: DataFrame, order_by: Order, n: int, reverse: bool = False) -> DataFr
 
 
 __all__ = [
-    "CNT", "RN", "attach", "broadcast_if_small", "hot_groups", "hot_limit", "laid_out", "null_safe",
-    "number_large", "order_items", "positions", "split_hot", "stage", "top",
+    "CNT", "RN", "attach", "broadcast_if_small", "hot_groups", "hot_limit", "laid_out", "number_large", "order_items", "positions", "side_by_side", "split_hot", "stage", "top",
 ]
