@@ -9,7 +9,7 @@ from .registry import query, rounded
 
 
 @query("""
-select n_name as nation, year(o_orderdate) as order_year,
+select n_name as nation, year(o_orderdate)::int as order_year,
        round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue, count(*) as items
 from lineitem join orders on l_orderkey = o_orderkey
      join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey

@@ -3,10 +3,13 @@
 from pyspark.sql import functions as F
 
 from tablewright import functions as fn
+from tablewright import UniqueOrder
 from tablewright import operators as op
 
 from .registry import query, rounded
 
+BY_TIME = UniqueOrder(["ts", "event_id"])
+
 
 @query("""
 select event_id, trunc(value)::bigint as whole, value as number, value > 0 as flag, ts::date as day, ts as moment,
@@ -123,14 +126,14 @@ def impute_max(t):
 select event_id, last_value({GAPS} ignore nulls) over (order by ts, event_id rows between unbounded preceding and current row) as v from events
 """)
 def impute_forward(t):
-    return op.select(op.impute(_gaps(t), "v", "forwardFill", order_by=["ts", "event_id"]), ["event_id", "v"])
+    return op.select(op.impute(_gaps(t), "v", "forwardFill", order_by=BY_TIME), ["event_id", "v"])
 
 
 @query(f"""
 select event_id, first_value({GAPS} ignore nulls) over (order by ts, event_id rows between current row and unbounded following) as v from events
 """)
 def impute_backward(t):
-    return op.select(op.impute(_gaps(t), "v", "backwardFill", order_by=["ts", "event_id"]), ["event_id", "v"])
+    return op.select(op.impute(_gaps(t), "v", "backwardFill", order_by=BY_TIME), ["event_id", "v"])
 
 
 @query(f"""
@@ -142,5 +145,5 @@ n as (select event_id, v, i,
 select event_id, round(coalesce(v, v0 + (v1 - v0) * (i - i0) / (i1 - i0)), 6) as v from n
 """)
 def impute_linear(t):
-    out = op.impute(_gaps(t), "v", "linearInterpolation", order_by=["ts", "event_id"])
+    out = op.impute(_gaps(t), "v", "linearInterpolation", order_by=BY_TIME)
     return op.select(rounded(out, 6, "v"), ["event_id", "v"])

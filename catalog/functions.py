@@ -12,7 +12,7 @@ from .registry import query, rounded
 select p_partkey, upper(p_name) as upper, lower(p_brand) as lower,
   array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as title,
   regexp_replace(regexp_replace('  ' || p_name || chr(9), '^\\s+', ''), '\\s+$', '') as trimmed,
-  substr(p_name, 1, 3) as head, substr(p_name, 3) as tail, length(p_name) as size,
+  substr(p_name, 1, 3) as head, substr(p_name, 3) as tail, length(p_name)::int as size,
   string_split(p_name, ' ')[1] as piece, string_split(p_name, ' ')[-1] as last_piece, null::varchar as no_piece,
   p_type = 'PROMO' as eq, contains(p_name, 'red') as has, starts_with(p_name, 'blue') as starts, ends_with(p_name, 'bolt') as ends,
   lower(p_type) = 'promo' as eq_ci, contains(lower(p_name), 'red') as has_ci, starts_with(lower(p_brand), 'brand#1') as starts_ci,
@@ -38,7 +38,7 @@ def fn_string(t):
 
 @query("""
 select o_orderkey, coalesce(nullif(o_orderstatus, 'P') = 'F', false) as eq, coalesce(contains(nullif(o_orderstatus, 'P'), 'F'), false) as has,
-  upper(nullif(o_orderstatus, 'P')) as up, length(nullif(o_orderstatus, 'P')) as size from orders
+  upper(nullif(o_orderstatus, 'P')) as up, length(nullif(o_orderstatus, 'P'))::int as size from orders
 """)
 def fn_string_nulls(t):
     o = t.orders.select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("s"))
@@ -66,8 +66,8 @@ def fn_regex(t):
 
 
 @query("""
-select event_id, year(ts) as y, month(ts) as m, day(ts) as d, hour(ts) as h, minute(ts) as mi, second(ts) as s,
-  isodow(ts) - 1 as wd, week(ts) as w, quarter(ts) as q, date_diff('day', timestamp '2024-01-10', date_trunc('day', ts)) as age,
+select event_id, year(ts)::int as y, month(ts)::int as m, day(ts)::int as d, hour(ts)::int as h, minute(ts)::int as mi, second(ts)::int as s,
+  (isodow(ts) - 1)::int as wd, week(ts)::int as w, quarter(ts)::int as q, date_diff('day', timestamp '2024-01-10', date_trunc('day', ts))::int as age,
   date_trunc('year', ts)::date as ty, date_trunc('quarter', ts)::date as tq, date_trunc('month', ts)::date as tm,
   date_trunc('week', ts)::date as tw, date_trunc('day', ts)::date as td, date_trunc('hour', ts) as th,
   time_bucket(interval 15 minutes, ts) as t15, date_trunc('day', ts) + to_hours((hour(ts) // 4 * 4)::int) as t4h,
@@ -111,7 +111,7 @@ def fn_date_add(t):
 
 @query("""
 select o_orderkey, o_orderdate::date as iso, o_orderdate::date as slashed, o_orderdate::date as short_year,
-  date_trunc('day', o_orderdate) + interval 14 hour as with_time, year(o_orderdate) as y, null::date as bad
+  date_trunc('day', o_orderdate) + interval 14 hour as with_time, year(o_orderdate)::int as y, null::date as bad
 from orders
 """)
 def fn_parse_date(t):

@@ -22,8 +22,8 @@ def profile_quality(t):
 
 def _numeric_sql(table, columns):
     return " union all ".join(
-        f"""select '{c}' as "column", count(*) as total_count, 0::bigint as null_count, 0.0 as null_pct, 0::bigint as error_count,
-  0.0 as error_pct, count(distinct {c}) as unique_count, round(100.0 * count(distinct {c}) / count(*), 8) as unique_pct,
+        f"""select '{c}' as "column", count(*) as total_count, 0::bigint as null_count, 0.0::double as null_pct, 0::bigint as error_count,
+  0.0::double as error_pct, count(distinct {c}) as unique_count, round(100.0 * count(distinct {c}) / count(*), 8) as unique_pct,
   min({c})::double as min, max({c})::double as max, round(avg({c}), 8) as mean, round(quantile_cont({c}, 0.25), 8) as p25,
   round(quantile_cont({c}, 0.5), 8) as median, round(quantile_cont({c}, 0.75), 8) as p75, round(stddev_pop({c}), 8) as std,
   round(avg({c}) - 3 * stddev_pop({c}), 8) as mean_minus_3_sigma, round(avg({c}) + 3 * stddev_pop({c}), 8) as mean_plus_3_sigma

@@ -72,9 +72,9 @@ def clean_text(t):
 
 
 @query("""
-select event_id, year(ts) as ts_year, month(ts) as ts_month, day(ts) as ts_day, hour(ts) as ts_hour,
-  minute(ts) as ts_minute, second(ts) as ts_second, isodow(ts) - 1 as ts_weekday, week(ts) as ts_week,
-  quarter(ts) as ts_quarter, date_trunc('month', ts)::date as ts_month_trunc, date_trunc('week', ts)::date as ts_week_trunc,
+select event_id, year(ts)::int as ts_year, month(ts)::int as ts_month, day(ts)::int as ts_day, hour(ts)::int as ts_hour,
+  minute(ts)::int as ts_minute, second(ts)::int as ts_second, (isodow(ts) - 1)::int as ts_weekday, week(ts)::int as ts_week,
+  quarter(ts)::int as ts_quarter, date_trunc('month', ts)::date as ts_month_trunc, date_trunc('week', ts)::date as ts_week_trunc,
   date_trunc('hour', ts) as ts_hour_trunc
 from events
 """)
@@ -173,7 +173,7 @@ def replace_errors(t):
 
 
 @query("""
-select year(o_orderdate) as order_year, o_orderpriority, count(*) as n, round(avg(o_totalprice), 8) as mean_price
+select year(o_orderdate)::int as order_year, o_orderpriority, count(*) as n, round(avg(o_totalprice), 8) as mean_price
 from orders where o_orderstatus <> 'P' group by all
 """)
 def pipeline_job(t):

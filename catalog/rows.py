@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from tablewright import UniqueOrder
 from tablewright import operators as op
 from tablewright import sources
 
 from .registry import query
 
+BY_TIME = UniqueOrder(["ts", "event_id"])
+
 
 @query("select * from customer order by c_acctbal desc, c_custkey")
 def sort_table(t):
@@ -27,7 +30,7 @@ def top_k_per_group(t):
 
 @query("select * from events order by ts, event_id limit 100")
 def slice_first(t):
-    return op.slice_rows(t.events, 100, "first", ["ts", "event_id"])
+    return op.slice_rows(t.events, 100, "first", BY_TIME)
 
 
 @query("select * from orders order by o_orderdate desc, o_orderkey desc limit 40")
@@ -42,12 +45,12 @@ def slice_remove_first(t):
 
 @query("select * exclude (k) from (select *, row_number() over (order by ts desc, event_id desc) as k from events) where k > 30")
 def slice_remove_last(t):
-    return op.slice_rows(t.events, 30, "removeLast", ["ts", "event_id"])
+    return op.slice_rows(t.events, 30, "removeLast", BY_TIME)
 
 
 @query("select *, row_number() over (order by ts, event_id) + 99 as idx from events")
 def add_index(t):
-    return op.add_index(t.events, "idx", ["ts", "event_id"], start=100)
+    return op.add_index(t.events, "idx", BY_TIME, start=100)
 
 
 @query("select * exclude (k) from (select *, row_number() over (order by event_id) - 1 as k from events) where k in (0, 5, 17, 999)")
@@ -74,7 +77,7 @@ def promote_header(t):
 select * exclude (k) from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) where k = 1
 """)
 def dedupe_first(t):
-    return op.dedupe(t.events, ["user_id", "event_type"], order_by=["ts", "event_id"])
+    return op.dedupe(t.events, ["user_id", "event_type"], order_by=BY_TIME)
 
 
 @query("select distinct l_returnflag, l_linestatus, l_linenumber from lineitem")

@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from tablewright import UniqueOrder
 from tablewright import operators as op
 
 from .registry import query, rounded
 
+BY_TIME = UniqueOrder(["ts", "event_id"])
+
 BY_USER = "(partition by user_id order by ts, event_id {})"
 
 
@@ -48,7 +51,7 @@ from events window w as {BY_USER.format('')}
 """)
 def window_offsets(t):
     out = op.window(
-        t.events, {"previous": ("lag", "value", 1, -1.0), "later": ("lead", "event_type", 2)}, ["ts", "event_id"], ["user_id"]
+        t.events, {"previous": ("lag", "value", 1, -1.0), "later": ("lead", "event_type", 2)}, BY_TIME, ["user_id"]
     )
     return op.select(out, ["event_id", "previous", "later"])
 
@@ -59,7 +62,7 @@ from events window w as {BY_USER.format('rows between unbounded preceding and un
 """)
 def window_values(t):
     derive = {"first_value": ("first_value", "value"), "last_value": ("last_value", "value"), "third": ("nth_value", "value", 3)}
-    out = op.window(t.events, derive, ["ts", "event_id"], ["user_id"])
+    out = op.window(t.events, derive, BY_TIME, ["user_id"])
     return op.select(out, ["event_id", "first_value", "last_value", "third"])
 
 
@@ -72,7 +75,7 @@ from e
 """)
 def window_fill(t):
     e = op.derive(t.events, {"v": "case when event_type not in ('view', 'click') then value end"})
-    out = op.window(e, {"down": ("fill_down", "v"), "up": ("fill_up", "v")}, ["ts", "event_id"], ["user_id"])
+    out = op.window(e, {"down": ("fill_down", "v"), "up": ("fill_up", "v")}, BY_TIME, ["user_id"])
     return op.select(out, ["event_id", "down", "up"])
 
 
@@ -89,7 +92,7 @@ def window_rolling(t):
         "n": ("count", "value"), "sd": ("stdev", "value"), "va": ("variance", "value"), "med": ("median", "value"),
         "pr": ("product", "rate"),
     }
-    out = op.window(e, derive, ["ts", "event_id"], ["user_id"], {k: (-2, 0) for k in derive})
+    out = op.window(e, derive, BY_TIME, ["user_id"], {k: (-2, 0) for k in derive})
     out = rounded(rounded(out, 4, "s"), 6, "m", "sd", "va", "med", "pr")
     return op.select(out, ["event_id", *derive])
 
@@ -100,7 +103,7 @@ from events window w as {BY_USER.format('rows between 1 preceding and 1 followin
 """)
 def window_centered(t):
     derive = {"s": ("sum", "value"), "n": ("count", "value"), "hi": ("max", "value")}
-    out = op.window(t.events, derive, ["ts", "event_id"], ["user_id"], {k: (-1, 1) for k in derive})
+    out = op.window(t.events, derive, BY_TIME, ["user_id"], {k: (-1, 1) for k in derive})
     return op.select(rounded(out, 4, "s"), ["event_id", *derive])
 
 
@@ -112,7 +115,7 @@ from events window w as {BY_USER.format('rows between unbounded preceding and cu
 """)
 def window_running(t):
     derive = {"s": ("sum", "value"), "m": ("mean", "value"), "lo": ("min", "value"), "total": ("sum", "value")}
-    out = op.window(t.events, derive, ["ts", "event_id"], ["user_id"], {"total": (None, None)})
+    out = op.window(t.events, derive, BY_TIME, ["user_id"], {"total": (None, None)})
     out = op.derive(out, {"share": F.round(F.col("value") / F.col("total"), 8)})
     return op.select(rounded(rounded(out, 4, "s", "total"), 9, "m"), ["event_id", *derive, "share"])
 
@@ -125,7 +128,7 @@ from events
 """)
 def window_whole_table(t):
     derive = {"running": ("sum", "value"), "smooth": ("mean", "value"), "still_to_come": ("count", "value")}
-    out = op.window(t.events, derive, ["ts", "event_id"], frames={"smooth": (-3, 3), "still_to_come": (0, None)})
+    out = op.window(t.events, derive, BY_TIME, frames={"smooth": (-3, 3), "still_to_come": (0, None)})
     return op.select(rounded(rounded(out, 2, "running"), 6, "smooth"), ["event_id", *derive])
 
 
@@ -137,7 +140,7 @@ c as (select event_id, v, count(*) as n from u group by all)
 select event_id, arg_min(v, (-n, v)) as usual from c group by event_id
 """)
 def window_mode(t):
-    out = op.window(t.events, {"usual": ("mode", "event_type")}, ["ts", "event_id"], ["user_id"], {"usual": (-4, 0)})
+    out = op.window(t.events, {"usual": ("mode", "event_type")}, BY_TIME, ["user_id"], {"usual": (-4, 0)})
     return op.select(out, ["event_id", "usual"])
 
 
@@ -147,4 +150,4 @@ select event_id, row_number() over (partition by kind order by ts, event_id) as
 """)
 def window_null_partition(t):
     e = op.derive(t.events, {"kind": F.nullif(F.col("event_type"), F.lit("view"))})
-    return op.select(op.window(e, {"rn": "row_number"}, ["ts", "event_id"], ["kind"]), ["event_id", "rn"])
+    return op.select(op.window(e, {"rn": "row_number"}, BY_TIME, ["kind"]), ["event_id", "rn"])

@@ -6,5 +6,6 @@ read and write, ``plans.jobs`` runs pipelines from a configuration.
 
 from . import functions, operators, sources, streaming
 from .plans import jobs
+from .plans.names import UniqueOrder
 
-__all__ = ["functions", "jobs", "operators", "sources", "streaming"]
+__all__ = ["UniqueOrder", "functions", "jobs", "operators", "sources", "streaming"]

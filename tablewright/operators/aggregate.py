@@ -85,10 +85,10 @@ def aggregate_column(df: DataFrame, fn: str, name: str | None, approx: bool = Fa
     }[fn](n)
 
 
-def _order_key(df: DataFrame, order_by: Order | None, fn: str) -> Column:
+def _order_key(df: DataFrame, order_by: Order | None, fn: str, name: str) -> Column:
     if order_by is None:
         raise ValueError(f"{fn} depends on row order: pass order_by")
-    items = total_order(df, order_by)
+    items = total_order(df, order_by, among=[name])
     if any(d for _, d in order_items(order_by)):
         raise ValueError(f"{fn} takes an ascending order_by; use the opposite function for descending")
     return F.struct(*[ref(n) for n, _ in items])
@@ -161,7 +161,7 @@ def _grouped(df, specs, keys, order_by, approx, round_digits) -> DataFrame:
     columns = []
     for out, (fn, name) in specs.items():
         if fn in ORDERED:
-            c = _ordered_column(df, fn, name, _order_key(df, order_by, fn))
+            c = _ordered_column(df, fn, name, _order_key(df, order_by, fn, name))
         else:
             c = aggregate_column(df, fn, name, approx)
         columns.append(_finish(df, fn, name, c, round_digits).alias(out))

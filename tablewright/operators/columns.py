@@ -8,15 +8,24 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import FUNCTIONS, dates, text
 from ..functions.base import value
 from ..plans.names import ref, require_columns, require_free
 
 MATCH_TYPES = ("prefix", "suffix", "contains", "regex")
 
 
-def as_column(expression: Column | str) -> Column:
-    """Spark SQL text is parsed by Spark; a Column passes through."""
+def as_column(expression: Column | str | dict) -> Column:
+    """Spark SQL text is parsed by Spark; a Column passes through.
+
+    A call of a library function in a configuration is ``{"fn": name, "args": […]}``
+    with the arguments the Python function takes; arguments may be calls again.
+    """
+    if isinstance(expression, dict):
+        name = expression["fn"]
+        if name not in FUNCTIONS:
+            raise ValueError(f"unknown function: {name}")
+        return FUNCTIONS[name](*[as_column(a) if isinstance(a, dict) else a for a in expression.get("args", ())])
     return F.expr(expression) if isinstance(expression, str) else expression
 
 
@@ -80,7 +89,7 @@ def rename_pattern(df: DataFrame, find: str, replace: str, regex: bool = False)
     return rename(df, {a: b for a, b in renamed.items() if a != b})
 
 
-def derive(df: DataFrame, expressions: dict[str, Column | str]) -> DataFrame:
+def derive(df: DataFrame, expressions: dict[str, Column | str | dict]) -> DataFrame:
     """Adds or replaces columns in the given order; later ones see earlier ones."""
     for name, expression in expressions.items():
         df = df.withColumn(name, as_column(expression))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.base import num, value
 from ..functions.logic import ERROR_SUFFIX
 from ..plans.layout import CNT, RN, hot_groups, number_large
-from ..plans.names import Order, ref, require_columns, total_order
+from ..plans.names import Order, UniqueOrder, ref, require_columns, total_order
 from ..streaming import require_batch
 from .aggregate import aggregate
 from .window import Spec, block_windows, plain_windows, window
@@ -67,9 +67,9 @@ def impute(
     return _interpolated(kept, column, _without_helper(df, order_by), df.columns)
 
 
-def _without_helper(df: DataFrame, order_by: Order) -> list[tuple[str, str]]:
+def _without_helper(df: DataFrame, order_by: Order) -> UniqueOrder:
     """The total order of the original columns, so helper columns never decide ties."""
-    return [(n, "desc" if d else "asc") for n, d in total_order(df, order_by)]
+    return UniqueOrder((n, "desc" if d else "asc") for n, d in total_order(df, order_by))
 
 
 def _filled(df: DataFrame, column: str, c: Column) -> DataFrame:
@@ -95,7 +95,7 @@ def _interpolated(kept: DataFrame, column: str, order_by, columns) -> DataFrame:
     point = F.when(num(F.col("__kept")).isNotNull(), F.struct(num(F.col("__kept")).alias("v"), F.col(RN).alias("at")))
     numbered = numbered.withColumn("__point", point)
     specs = [Spec("__before", "fill_down", "__point"), Spec("__after", "fill_up", "__point")]
-    full = plain_windows(numbered, specs, RN, []) if hot is None else block_windows(numbered, specs, RN, [])
+    full = plain_windows(numbered, specs, UniqueOrder([RN]), []) if hot is None else block_windows(numbered, specs, UniqueOrder([RN]), [])
     a, b = F.col("__before"), F.col("__after")
     between = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col(RN) - a["at"], b["at"] - a["at"])
     kind = kept.schema[column].dataType

@@ -135,7 +135,7 @@ def lookup(
         raise ValueError("lookup takes the last of several matches: pass order_by for the right table")
     if any(d for _, d in order_items(order_by)):
         raise ValueError("lookup takes an ascending order_by")
-    order = F.struct(*[ref(n).alias(f"o{i}") for i, (n, _) in enumerate(total_order(right, order_by))])
+    order = F.struct(*[ref(n).alias(f"o{i}") for i, (n, _) in enumerate(total_order(right, order_by, among=values))])
     keyed = right.groupBy(*[ref(b).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)])
     last = keyed.agg(F.max_by(F.struct(*[ref(v) for v in values]), order).alias("__last"))
     cond = reduce(lambda a, b: a & b, [ref(a) == F.col(f"__k{i}") for i, (a, _) in enumerate(pairs)])

@@ -13,7 +13,7 @@ from ..functions.base import value
 from ..functions.logic import ERROR_SUFFIX
 from ..plans.layout import RN, SMALL_ROWS, TOP_ROWS, positions, top
 from ..plans.names import (
-    Order, order_items, ref, repair_headers, require_columns, sort_columns, total_order,
+    Order, UniqueOrder, is_orderable, order_items, ref, repair_headers, require_columns, sort_columns, total_order,
 )
 from ..streaming import require_batch
 from .columns import as_column
@@ -127,11 +127,12 @@ def _without(df: DataFrame, order_by: Order, count: int, reverse: bool) -> DataF
     cut need real positions.
     """
     items = [(n, d != reverse) for n, d in total_order(df, order_by)]
-    atomic = not any(isinstance(f.dataType, (T.ArrayType, T.StructType)) for f in df.schema.fields)
-    if count < TOP_ROWS and atomic and len(items) == len(df.columns):
+    atomic = not any(isinstance(df.schema[n].dataType, (T.ArrayType, T.StructType)) for n, _ in items)
+    total = isinstance(order_by, UniqueOrder) or len(items) == len(df.columns)
+    if count < TOP_ROWS and atomic and total:
         head = df.orderBy(*sort_columns(items)).limit(count + 1)
         back = [(n, not d) for n, d in items]
-        edge = head.orderBy(*sort_columns(back)).limit(2).collect()
+        edge = head.orderBy(*sort_columns(back)).limit(2).select(*[ref(n) for n, _ in items]).collect()
         if len(edge) == 2 and edge[0] != edge[1] and head.count() == count + 1:
             return df.filter(_after(df, items, edge[1]))
     numbered = positions(df, order_by)
@@ -274,8 +275,8 @@ def sample(df: DataFrame, count: int, seed: int | None = None, keys: Sequence[st
     if seed is None:
         mark = F.rand()
     else:
-        names = list(keys) or [n for n, _ in total_order(df, df.columns[0])]
+        names = list(keys) or [f.name for f in df.schema.fields if is_orderable(f.dataType)]
         require_columns(df, names)
         mark = F.xxhash64(F.lit(int(seed)), *[ref(n) for n in names])
     marked = df.select(*[ref(c) for c in df.columns], mark.alias("__mark"))
-    return top(marked, "__mark", count).drop("__mark")
+    return top(marked, UniqueOrder(["__mark"]) if seed is None else ["__mark", *keys], count).drop("__mark")

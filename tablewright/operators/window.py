@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.layout import CNT, RN, attach, hot_groups, hot_limit, number_large, split_hot, stage
-from ..plans.names import Order, order_items, ref, require_columns, sort_columns, total_order
+from ..plans.names import Order, UniqueOrder, order_items, ref, require_columns, sort_columns, total_order
 from ..streaming import require_batch
 
 RANKING = ("row_number", "rank", "dense_rank", "avg_rank", "percent_rank", "cume_dist", "ntile")
@@ -117,7 +117,7 @@ def _windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: list[s
 
 def _half_unbounded(df: DataFrame, specs, half, order_by: Order, keys: list[str]) -> DataFrame:
     """Each such column apart, then the others; helper names are dropped at the end."""
-    order = [(n, "desc" if d else "asc") for n, d in total_order(df, order_by)]
+    order = UniqueOrder((n, "desc" if d else "asc") for n, d in total_order(df, order_by))
     out = df
     made = {}
     for i, s in enumerate(half):
@@ -143,12 +143,12 @@ def _running_mode(df: DataFrame, s: Spec, out: str, order, keys: list[str]) -> D
     """
     forward = s.frame[0] is None
     flip = {"asc": "desc", "desc": "asc"}
-    count_order = order if forward else [(n, flip[d]) for n, d in order]
+    count_order = order if forward else UniqueOrder((n, flip[d]) for n, d in order)
     seen, best = f"{out}_seen", f"{out}_best"
     counted = _windows(df, [Spec(seen, "row_number")], count_order, [*keys, *([] if s.column in keys else [s.column])])
     pair = F.when(ref(s.column).isNotNull(), F.struct((-F.col(seen)).alias("c"), ref(s.column).alias("v")))
     counted = counted.withColumn(best, pair)
-    rows = [*order, (seen, "asc" if forward else "desc")]
+    rows = UniqueOrder([*order, (seen, "asc" if forward else "desc")])
     done = _windows(counted, [Spec(out, "min", best, frame=s.frame)], rows, keys)
     return done.withColumn(out, F.col(out)["v"]).drop(seen, best)
 
@@ -212,8 +212,8 @@ def plain_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: S
     part = [ref(k) for k in keys]
     group = Window.partitionBy(*part)
     peers = group.orderBy(*sort_columns(order_items(order_by)))
-    rows = group.orderBy(*sort_columns(total_order(df, order_by)))
-    back = group.orderBy(*sort_columns(total_order(df, order_by), reverse=True))
+    items = [(n, d) for n, d in total_order(df, order_by) if n not in keys] or order_items(order_by)
+    rows, back = group.orderBy(*sort_columns(items)), group.orderBy(*sort_columns(items, reverse=True))
     same_key = Window.partitionBy(*part, *[ref(n) for n, _ in order_items(order_by)])
     outputs = {}
     for s in specs:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .names import Order, order_items, ref, sort_columns, total_order
+from .names import Order, UniqueOrder, ref, sort_columns, total_order
 
 HOT_ROWS_CONF = "spark.tablewright.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
@@ -163,11 +163,11 @@ def top(df: DataFrame, order_by: Order, n: int, reverse: bool = False) -> DataFr
     items = total_order(df, order_by)
     if n <= TOP_ROWS:
         return df.orderBy(*sort_columns(items, reverse)).limit(n)
-    ordered = positions(df, [(c, "desc" if d else "asc") for c, d in items])
+    ordered = positions(df, UniqueOrder((c, "desc" if d else "asc") for c, d in items))
     keep = F.col(RN) > df.count() - n if reverse else F.col(RN) <= n
     return ordered.filter(keep).drop(RN)
 
 
 __all__ = [
-    "CNT", "RN", "attach", "broadcast_if_small", "hot_groups", "hot_limit", "laid_out", "number_large", "order_items", "positions", "side_by_side", "split_hot", "stage", "top",
+    "CNT", "RN", "attach", "broadcast_if_small", "hot_groups", "hot_limit", "laid_out", "number_large", "positions", "side_by_side", "split_hot", "stage", "top",
 ]

@@ -11,6 +11,14 @@ from pyspark.sql import types as T
 Order = "Sequence[str | tuple[str, str]] | str"
 
 
+class UniqueOrder(list):
+    """An order no two rows tie in, such as one ending in a key.
+
+    ``order_by=UniqueOrder(["ts", "event_id"])`` spares the tie-breaks, and with
+    them the columns that only tie-breaks would read.
+    """
+
+
 def ref(name: str) -> Column:
     """A column by its exact name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -73,14 +81,17 @@ def is_orderable(t: T.DataType) -> bool:
     return not isinstance(t, (T.MapType, T.VariantType, T.NullType))
 
 
-def total_order(df: DataFrame, order_by: Order, first: Sequence[str] = ()) -> list[tuple[str, bool]]:
-    """The given order, then every other orderable column as a tie-break.
+def total_order(df: DataFrame, order_by: Order, first: Sequence[str] = (), among: Sequence[str] | None = None) -> list[tuple[str, bool]]:
+    """The given order, then the other orderable columns as tie-breaks.
 
     With that, rows that still tie are identical, so a result that depends on
-    position is the same for any partitioning.
+    position is the same for any partitioning. ``first`` are leading keys;
+    ``among`` narrows the tie-breaks to the columns a result shows.
     """
     items = [(n, False) for n in first] + order_items(order_by)
     require_columns(df, [n for n, _ in items])
+    if isinstance(order_by, UniqueOrder):
+        return items
     used = {n for n, _ in items}
-    ties = [(f.name, False) for f in df.schema.fields if f.name not in used and is_orderable(f.dataType)]
-    return items + ties
+    ties = [f for f in df.schema.fields if f.name not in used and (among is None or f.name in among)]
+    return items + [(f.name, False) for f in ties if is_orderable(f.dataType)]

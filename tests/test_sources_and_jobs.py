@@ -167,6 +167,10 @@ def test_every_step(spark):
     errors = jobs.run_steps(d, [{"types": {"s": "integer"}}, {"replace": {"column": "s", "matchMode": "errors", "replace": 0}}, {"replace": {"column": "v", "matchMode": "null", "replace": 0}}])
     assert {r["s"] for r in errors.collect()} == {0} and errors.filter("v is null").count() == 0
     assert jobs.apply_step(d, {"replace": {"column": "s", "find": "-", "replace": "+", "isRegex": True}}).first()["s"] == "a+b"
+    call = {"derive": {"r": {"fn": "round", "args": [{"fn": "divide", "args": ["id", 2]}, 0]}, "t": {"fn": "split", "args": ["s", "-", -1]}}}
+    assert sorted_rows(jobs.apply_step(d, call), "r", "t") == [(1.0, "b"), (1.0, "c"), (2.0, "f")]
+    with pytest.raises(ValueError, match="unknown function"):
+        jobs.apply_step(d, {"filter": {"fn": "nothing"}})
     with pytest.warns(UserWarning, match="no known operator"):
         assert jobs.apply_step(d, {"frobnicate": {}}) is d
     with warnings.catch_warnings():
