@@ -58,16 +58,16 @@ def quality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], percentiles: str = "exact") -> DataFrame:
+def numeric_profile(df: DataFrame, columns: Sequence[str], accuracy: str = "exact") -> DataFrame:
     """One row per column: counts, range, mean, quartiles, population deviation, 3-sigma bounds.
 
     Numeric text counts as numbers. All columns share one pass; above the hot
     limit the exact quartiles of each column come from sketched brackets, and
-    ``percentiles="approx"`` takes the sketch alone.
+    ``accuracy="approx"`` takes Spark's sketches for quartiles and distinct counts.
     """
     require_batch(df, "numeric_profile")
     require_columns(df, columns)
-    hot = hot_groups(df, []) if percentiles == "exact" else None
+    hot = hot_groups(df, []) if accuracy == "exact" else None
     values = {i: _finite(df, c) for i, c in enumerate(columns)}
     aggs = [F.count(F.lit(1)).alias("total_count")]
     for i, c in enumerate(columns):
@@ -82,8 +82,9 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], percentiles: str = "e
         ]
         if hot is None:
             ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-            aggs.append((F.percentile if percentiles == "exact" else F.percentile_approx)(v, ps).alias(f"q_{i}"))
-    uniques = [F.count_distinct(F.when(~_empty(df, c), ref(c))).alias(f"unique_{i}") for i, c in enumerate(columns)]
+            aggs.append((F.percentile if accuracy == "exact" else F.percentile_approx)(v, ps).alias(f"q_{i}"))
+    count_unique = F.count_distinct if accuracy == "exact" else F.approx_count_distinct
+    uniques = [count_unique(F.when(~_empty(df, c), ref(c))).alias(f"unique_{i}") for i, c in enumerate(columns)]
     parts = [df.agg(*aggs), df.agg(*uniques)]
     if hot is not None:
         # All columns in one set of passes, as groups of a long table.
@@ -182,9 +183,9 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, as_categorical:
     }
 
 
-def boxplot(df: DataFrame, columns: Sequence[str], percentiles: str = "exact") -> DataFrame:
+def boxplot(df: DataFrame, columns: Sequence[str], accuracy: str = "exact") -> DataFrame:
     """Quartiles and whiskers at 1.5 interquartile ranges, clamped to the data."""
-    p = numeric_profile(df, columns, percentiles)
+    p = numeric_profile(df, columns, accuracy)
     iqr = F.col("p75") - F.col("p25")
     return p.select(
         "column",

@@ -332,7 +332,7 @@ def block_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: S
     block, back = members.orderBy(RN), members.orderBy(F.col(RN).desc())
     for i, s in enumerate(plan):
         outputs.update(_block_value(df, s, i, size, block, back))
-    out = blocks.select(*blocks.columns, *[v.alias(k) for k, v in outputs.items()])
+    out = blocks.select(*[ref(c) for c in blocks.columns], *[v.alias(k) for k, v in outputs.items()])
     own = F.floor((F.col(RN) - 1) / size) == F.col(BLK)
     out = out.filter(own)
 
@@ -345,7 +345,8 @@ def block_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: S
             out = out.withColumns({c: row.select(c).scalar() for c in row.columns})
 
     values = {s.out: _merged(s, i) for i, s in enumerate(plan)}
-    result = out.select(*[c for c in df.columns if c not in values], *[v.alias(k) for k, v in values.items()])
+    kept = [ref(c) for c in df.columns if c not in values]
+    result = out.select(*kept, *[v.alias(k) for k, v in values.items()])
     ranks = {s.out: _rank_value(s) for s in specs if s.fn in RANKING}
     names = [*base, *[s.out for s in specs if s.out not in base]]
     return result.select(*[ranks[c].alias(c) if c in ranks else ref(c) for c in names])
@@ -570,7 +571,7 @@ def _rank_marks(df: DataFrame, order_by: Order, keys: list[str]) -> tuple[DataFr
     w = Window.partitionBy(*[ref(k) for k in keys], BLK).orderBy(RN)
     peer = F.struct(*[ref(n) for n in names])
     marked = blocks.select(
-        *blocks.columns,
+        *[ref(c) for c in blocks.columns],
         (~F.coalesce(F.lag(peer).over(w).eqNullSafe(peer), F.lit(False))).alias("__starts"),
         (~F.coalesce(F.lead(peer).over(w).eqNullSafe(peer), F.lit(False))).alias("__ends"),
     ).filter(F.floor((F.col(RN) - 1) / size) == F.col(BLK)).drop(BLK)

@@ -68,7 +68,7 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on null-safe keys, keeping each key once."""
-    renamed = small.select(*[ref(k).alias(f"__k_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    renamed = small.withColumnsRenamed({k: f"__k_{k}" for k in keys})
     renamed = broadcast_if_small(renamed)
     cond = F.lit(True)
     for k in keys:

@@ -310,6 +310,8 @@ def test_profiles(spark):
     numbers = spark.createDataFrame([("1",), ("2",), ("x",), (None,)], "v string")
     p = op.numeric_profile(numbers, ["v"]).first()
     assert (p["total_count"], p["null_count"], p["min"], p["max"], p["median"], p["unique_count"]) == (4, 1, 1.0, 2.0, 1.5, 3)
+    rough = op.numeric_profile(numbers, ["v"], accuracy="approx").first()
+    assert (rough["min"], rough["max"], rough["unique_count"]) == (1.0, 2.0, 3)
     every = op.profile(d.withColumn("n", F.lit(1)))
     assert every["numeric"].count() == 1 and list(every["categorical"]) == ["v"]
 
@@ -326,3 +328,16 @@ def test_streams_are_refused_where_order_matters(spark, tmp_path):
     for act in (lambda: op.sort(stream, "id"), lambda: op.add_index(stream, "i", "id"), lambda: op.window(stream, {"r": "rank"}, "id")):
         with pytest.raises(ValueError, match="streaming"):
             act()
+
+
+def test_awkward_column_names(spark, tiny_groups):
+    d = spark.range(60).selectExpr("id as `a.b`", "id % 3 as `k y`", "cast(id % 7 as double) as `v``q`")
+    out = op.window(d, {"r.k": "rank", "s m": ("sum", "v`q"), "f": ("fill_down", "v`q"), "t": ("max", "a.b")}, "v`q", ["k y"], {"t": (None, None)})
+    assert out.columns == ["a.b", "k y", "v`q", "r.k", "s m", "f", "t"] and out.count() == 60
+    whole = op.window(d, {"r.k": "dense_rank", "n": ("count", None)}, "a.b")
+    assert sorted(r["n"] for r in whole.collect()) == list(range(1, 61))
+    assert op.aggregate(d, {"m d": ("median", "v`q"), "n.n": "count"}, ["k y"]).count() == 3
+    assert op.join(d, d.select("`a.b`", "`k y`"), "a.b", "full").columns == ["a.b", "k y_x", "v`q", "k y_y"]
+    assert op.dedupe(d, ["k y"], order_by="a.b").count() == 3
+    assert op.fold(d, ["a.b", "k y"]).select("key").distinct().count() == 2
+    assert op.slice_rows(d, 5, "removeFirst", "a.b").count() == 55
