@@ -1,6 +1,6 @@
 """Column functions for derive and filter: 72 named functions plus the operators.
 
-``FUNCTIONS`` maps each public name to its builder; names that would shadow a
+``FUNCTIONS`` and ``OPERATORS`` map each public name to its builder; names that would shadow a
 Python builtin carry a trailing underscore as attributes.
 """
 
@@ -47,3 +47,4 @@ _JSON = dict(
     json_type=json_type, json_stringify=json_stringify,
 )
 FUNCTIONS = {**_STRING, **_REGEX, **_DATE, **_MATH, **_LOGIC, **_JSON}
+OPERATORS = {"divide": divide, "mod": mod, "eq": eq, "ne": ne, "not": not_, "concat": concat}

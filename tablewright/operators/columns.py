@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import FUNCTIONS, dates, text
+from ..functions import FUNCTIONS, OPERATORS, dates, text
 from ..functions.base import value
 from ..plans.names import ref, require_columns, require_free
 
@@ -22,10 +22,10 @@ def as_column(expression: Column | str | dict) -> Column:
     with the arguments the Python function takes; arguments may be calls again.
     """
     if isinstance(expression, dict):
-        name = expression["fn"]
-        if name not in FUNCTIONS:
+        name, known = expression["fn"], FUNCTIONS | OPERATORS
+        if name not in known:
             raise ValueError(f"unknown function: {name}")
-        return FUNCTIONS[name](*[as_column(a) if isinstance(a, dict) else a for a in expression.get("args", ())])
+        return known[name](*[as_column(a) if isinstance(a, dict) else a for a in expression.get("args", ())])
     return F.expr(expression) if isinstance(expression, str) else expression
 
 
