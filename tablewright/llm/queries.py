@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .mixing import OP8_SQL, op8_mixing
 from .ngram_join import op6_ngram_jaccard
+from .quality_rules import OP3_SQL, op3_quality_rules
+from .sharding import op2_sharding
 
-QUERIES = {f.__name__: f for f in (op6_ngram_jaccard,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality_rules, op6_ngram_jaccard, op8_mixing)}
+SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op8_mixing": OP8_SQL}
