@@ -15,6 +15,8 @@ import numpy as np
 BATCH_BYTES = 2_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Letters, digits and all non-ASCII bytes form tokens; everything else parts them.
+PARTED = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
@@ -60,12 +62,12 @@ def batches(texts: Sequence[str | None], limit: int = BATCH_BYTES) -> Iterator[t
         yield begin, run
 
 
-def words(raws: Sequence[bytes], lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 texts; ``lower`` folds A-Z before hashing."""
+def words(raws: Sequence[bytes], lower: bool = False, breaks: np.ndarray = _SPACE) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 texts, or runs of bytes that ``breaks`` allows; ``lower`` folds A-Z before hashing."""
     buffer = np.frombuffer(b" ".join([b"", *raws, b""]) + b"        ", np.uint8)
     if lower:
         buffer = _LOWER[buffer]
-    edge = np.flatnonzero(np.diff(_SPACE[buffer].view(np.int8))) + 1  # words begin and end alternately
+    edge = np.flatnonzero(np.diff(breaks[buffer].view(np.int8))) + 1  # words begin and end alternately
     start, end = edge[0::2], edge[1::2]
     offsets = np.cumsum([1, *[len(r) + 1 for r in raws]])
     first = np.searchsorted(start, offsets)
