@@ -149,8 +149,9 @@ class Join:
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs that share prefix tokens under the other orders and whose bitmaps allow the overlap."""
-        own = self.nodes.select("id", "n", "second", "third", "parity")
-        out = pairs.groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one")
+        out = stage(pairs.groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"))
+        ends = stage(out.select(F.col("u").alias("id")).union(out.select("v")).distinct())
+        own = self.nodes.select("id", "n", "second", "third", "parity").join(broadcast_ids(ends), "id", "left_semi")
         for end in ("u", "v"):
             out = out.join(own.withColumnsRenamed({"id": end, **{c: f"{c}_{end}" for c in ("n", "second", "third", "parity")}}), end)
         differ = F.aggregate(F.zip_with("parity_u", "parity_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
