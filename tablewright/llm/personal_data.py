@@ -44,7 +44,7 @@ contact <email>first.last+tag@example.co.uk</email> for terms
 correo <email>info@ejemplo.example.es</email> para detalles
 <email>sales@example.net</email> answers within a day
 paid with <card>4111111111111111</card> last week
-card <card>4000 1234 5678 9010</card> was declined
+card <card>4000 1234 5678 9017</card> was declined
 Karte <card>5500-0000-0000-0004</card> gesperrt
 la tarjeta <card>4012888888881881</card> fue usada
 number <card>6011 0009 9013 9424</card> expires soon
