@@ -50,7 +50,8 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share_percen
     rest = F.sum("weight").over(by_stop.rowsBetween(0, Window.unboundedFollowing))
     whole = Window.partitionBy()
     rows = rows.withColumn("level", (F.sum("source_size").over(whole) * F.lit(share_percent / 100) - stopped) / rest)
-    level = F.min(F.when(F.col("level") <= F.col("stop"), F.struct("stop", "level"))).over(whole)["level"]
+    rows = rows.withColumn("rank", F.row_number().over(by_stop))  # sources may stop at the same level
+    level = F.min(F.when(F.col("level") <= F.col("stop"), F.struct("rank", "level"))).over(whole)["level"]
     reached = F.least("limit", F.coalesce(level * F.col("weight"), F.col("limit")))
     return rows.select("source", "source_size", reached.alias("target"))
 
@@ -110,9 +111,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, mo
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_TIMES) -> DataFrame:
     """The documents of the mix with their columns, each as often as it is taken."""
     rows = stage(docs.select("source", F.size(words_of(F.col("text"))).cast("long").alias("size"), id_hash(F.col("doc_id")).alias("hash")))
-    plan = broadcast_ids(mixture(rows, weights, share_percent, most).select(F.col("source").alias("__source"), "times", "below"))
+    plan = broadcast_ids(mixture(rows, weights, share_percent, most).select(*[F.col(c).alias(f"__{c}") for c in ("source", "times", "below")]))
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("__source")))
-    count = F.col("times") + F.when((id_hash(F.col("doc_id")) < F.col("below")) & (F.col("times") < most), 1).otherwise(0)
+    count = F.col("__times") + F.when((id_hash(F.col("doc_id")) < F.col("__below")) & (F.col("__times") < most), 1).otherwise(0)
     copies = F.explode(F.array_repeat(F.lit(1), count.cast("int")))
     return joined.withColumn("__copy", copies).select(*docs.columns)
 
@@ -132,10 +133,10 @@ w as (
   select source, source_size, 2.0::double * source_size as cap,
          list_extract([5.0::double, 2.0, 1.0], 1 + (row_number() over (order by source nulls last) - 1) % 3) as weight from s),
 l as (
-  select *, cap / weight as stop,
+  select *, cap / weight as stop, row_number() over (order by cap / weight, source nulls last) as rank,
          (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
            / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from w),
-k as (select min_by(level, stop) as level from l where level <= stop),
+k as (select min_by(level, rank) as level from l where level <= stop),
 t as (select source, source_size, least(cap, coalesce(k.level * weight, cap)) as target from l left join k on true),
 r as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as times from t),
 c as (

@@ -77,7 +77,10 @@ def measures(docs: DataFrame) -> DataFrame:
     # A place covers three words, or as many as there are before the next place.
     covered = F.transform("at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - p, F.lit(3))))
     total = F.aggregate(covered, F.lit(0), lambda s, x: s + x)
-    return rows.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).select("doc_id", *MEASURES)
+    rows = rows.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long"))
+    # A filter on a measurement would be pushed below the steps above, one expression inside the
+    # other, and evaluate whole arrays for every element. It can't pass a generated column.
+    return rows.select("doc_id", F.inline(F.array(F.struct(*MEASURES))))
 
 
 def ledger(docs: DataFrame) -> DataFrame:

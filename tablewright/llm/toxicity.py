@@ -53,7 +53,7 @@ def _features(batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(raws)), own], ["toxic", "tokens"])
 
 
-def _scores(batch: pa.RecordBatch, model):
+def _scores(batch: pa.RecordBatch, model, name: str):
     weights, bias = model.value
     texts, out = batch.column(batch.num_columns - 1).to_pylist(), []
     for _, raws in batches(texts):
@@ -64,7 +64,7 @@ def _scores(batch: pa.RecordBatch, model):
         z = bias + np.bincount(key // BUCKETS, weights[key % BUCKETS], len(raws))
         out.append(1 / (1 + np.exp(-np.clip(z, -60, 60))))
     score = np.concatenate(out) if out else np.zeros(0)
-    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "score"])
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], name])
 
 
 def _descend(text, column, positive, prior: float, width: int, penalty: float):
@@ -139,12 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return fit([parts[i] for i in order], toxic[order] == 1, prior)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``score``: the chance that the text is toxic. Null and empty texts get the bias alone."""
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` and ``name``: the chance that the text is toxic. Null and empty texts get the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     columns = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1])
-    return map_texts(columns, partial(_scores, model=shared), f"{schema}, score double")
+    return map_texts(columns, partial(_scores, model=shared, name=name), f"{schema}, `{name}` double")
 
 
 def held_out(doc_id) -> F.Column:
@@ -165,7 +165,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
     model = train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return score(docs, model, docs.columns).filter("score < 0.5").drop("score")
+    return score(docs, model, docs.columns, "__score").filter("__score < 0.5").drop("__score")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

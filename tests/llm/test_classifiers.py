@@ -19,7 +19,7 @@ def corpus(spark, n=600, seed=0):
         if i % 6 == 0:
             text[3], text[7] = rng.choice(bad, 2)
         docs.append((i, " ".join(text), "en", f"s{i % 3}"))
-        if i % 2 == 0:
+        if i // 6 % 2 == 0:
             labels.append((i, int(i % 6 != 0), int(i % 6 == 0)))
     return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
