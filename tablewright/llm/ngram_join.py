@@ -36,7 +36,7 @@ from .components import components
 from .kernels import batches, mix, shingle_sets
 
 FEW = 32  # classes up to which a token's classes are paired with each other
-MARGIN_SHARE, MARGIN = 0.05, 8  # tokens posted beyond the prefix, for those that turn out to be common
+MARGIN_SHARE, MARGIN = 0.02, 4  # tokens posted beyond the prefix, for those that turn out to be common
 BITS = 1024
 SEEDS = (np.uint64(0xA5A5_1234_9E37_79B9), np.uint64(0x5A5A_4321_7F4A_7C15))
 
