@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import FUNCTIONS, OPERATORS, dates, text
+from ..functions.attempt import attempt, failed
 from ..functions.base import value
+from ..functions.logic import ERROR_SUFFIX
 from ..plans.names import ref, require_columns, require_free
 
 MATCH_TYPES = ("prefix", "suffix", "contains", "regex")
@@ -89,21 +91,29 @@ def rename_pattern(df: DataFrame, find: str, replace: str, regex: bool = False)
     return rename(df, {a: b for a, b in renamed.items() if a != b})
 
 
-def derive(df: DataFrame, expressions: dict[str, Column | str | dict]) -> DataFrame:
-    """Adds or replaces columns in the given order; later ones see earlier ones."""
+def derive(df: DataFrame, expressions: dict[str, Column | str | dict], errors: bool = False) -> DataFrame:
+    """Adds or replaces columns in the given order; later ones see earlier ones.
+
+    A cell that fails (a bad cast, a division by zero) is null; with ``errors`` its
+    message is in ``<column>__error``.
+    """
     for name, expression in expressions.items():
-        df = df.withColumn(name, as_column(expression))
+        c = as_column(expression)
+        new = {name: attempt(c)}
+        if errors:
+            new[name + ERROR_SUFFIX] = F.when(failed(c), F.lit(f"cannot evaluate {name}"))
+        df = df.withColumns(new)
     return df
 
 
 def conditional(df, column: str, conditions: Sequence[tuple[Column | str, object]], otherwise=None) -> DataFrame:
-    """The value of the first condition that is true."""
+    """The value of the first condition that is true; a condition that fails is not."""
     result = None
     for when, then in conditions:
-        result = (F if result is None else result).when(as_column(when), value(then))
+        result = (F if result is None else result).when(attempt(as_column(when)), attempt(value(then)))
     if result is None:
         raise ValueError("conditional needs at least one condition")
-    return df.withColumn(column, result.otherwise(value(otherwise)))
+    return df.withColumn(column, result.otherwise(attempt(value(otherwise))))
 
 
 def merge(df: DataFrame, columns: Sequence[str], output: str, separator: str = " ") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.math import round_
 from ..plans.names import Order, order_items, ref, require_columns, require_free, total_order
 from ..streaming import require_batch
+from .types import physical_type
 
 HOW = ("inner", "left", "right", "full", "cross")
 On = "str | Sequence[str | tuple[str, str]]"
@@ -40,8 +41,19 @@ def _prepared(left: DataFrame, right: DataFrame, pairs, suffixes) -> tuple[DataF
     return left.withColumnsRenamed(lnames), right.withColumnsRenamed(rnames), {"left": lnames, "right": rnames}
 
 
-def _condition(pairs, left_of, right_of) -> Column:
-    return reduce(lambda a, b: a & b, [left_of(a) == right_of(b) for a, b in pairs])
+def _unlike(left: DataFrame, right: DataFrame, pairs) -> set:
+    """Keys of which one side only is text."""
+    is_text = lambda df, c: physical_type(df.schema[c].dataType) == "string"
+    return {(a, b) for a, b in pairs if is_text(left, a) != is_text(right, b)}
+
+
+def _equal(a: Column, b: Column, as_text: bool) -> Column:
+    return a.cast("string") == b.cast("string") if as_text else a == b
+
+
+def _condition(pairs, left_of, right_of, unlike=frozenset()) -> Column:
+    """Equal keys; unlike ones are compared as text, so that ``x`` doesn't match a number instead of failing."""
+    return reduce(lambda a, b: a & b, [_equal(left_of(a), right_of(b), (a, b) in unlike) for a, b in pairs])
 
 
 def join(
@@ -70,7 +82,7 @@ def join(
     r = r.withColumnsRenamed(private)
     shared = {a for a, b in pairs if a == b}
     cond = _condition(
-        pairs, lambda a: ref(names["left"].get(a, a)), lambda b: ref(private[names["right"].get(b, b)])
+        pairs, lambda a: ref(names["left"].get(a, a)), lambda b: ref(private[names["right"].get(b, b)]), _unlike(left, right, pairs),
     )
     outputs = [ref(c) for c in l.columns] + [ref(p).alias(c) for c, p in private.items() if c not in shared]
     if how in ("inner", "left"):
@@ -101,7 +113,8 @@ def _filtering(left: DataFrame, right: DataFrame, on: On, how: str) -> DataFrame
     require_columns(right, [b for _, b in pairs])
     # Only the distinct keys of the right side travel.
     keys = right.select(*[ref(b).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)]).distinct()
-    cond = reduce(lambda a, b: a & b, [ref(a) == F.col(f"__k{i}") for i, (a, _) in enumerate(pairs)])
+    unlike = _unlike(left, right, pairs)
+    cond = reduce(lambda x, y: x & y, [_equal(ref(a), F.col(f"__k{i}"), (a, b) in unlike) for i, (a, b) in enumerate(pairs)])
     return left.join(keys, cond, how)
 
 
@@ -138,7 +151,8 @@ def lookup(
     order = F.struct(*[ref(n).alias(f"o{i}") for i, (n, _) in enumerate(total_order(right, order_by, among=values))])
     keyed = right.groupBy(*[ref(b).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)])
     last = keyed.agg(F.max_by(F.struct(*[ref(v) for v in values]), order).alias("__last"))
-    cond = reduce(lambda a, b: a & b, [ref(a) == F.col(f"__k{i}") for i, (a, _) in enumerate(pairs)])
+    unlike = _unlike(left, right, pairs)
+    cond = reduce(lambda x, y: x & y, [_equal(ref(a), F.col(f"__k{i}"), (a, b) in unlike) for i, (a, b) in enumerate(pairs)])
     return left.join(last, cond, "left").select(
         *[ref(c) for c in left.columns], *[F.col("__last").getField(v).alias(v) for v in values]
     )

@@ -55,7 +55,7 @@ def pivot(
     most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     wanted = min(limit or most + 1, most + 1)
     distinct = df.filter(ref(keys).isNotNull()).select(ref(keys).alias("k")).distinct()
-    if sort:
+    if sort or limit:  # a limit takes the same keys in every run
         distinct = distinct.orderBy("k")
     names = [r[0] for r in distinct.limit(wanted).select(F.col("k").cast("string")).collect()]
     if len(names) > most:
@@ -95,9 +95,11 @@ def split(
     require_columns(df, [column])
     cap = 1 if mode in ("left", "right") else (max_columns if mode in ("firstN", "lastN") else None)
     pieces = F.split(ref(column).cast("string"), delimiter if regex else quote_regex(delimiter), -1)
-    width = df.agg(F.max(F.size(pieces))).first()[0] or 0
-    width = max(width, 0)
-    width = min(width, cap) if cap else width
+    if mode in ("left", "right"):
+        width = 1
+    else:
+        width = max(df.agg(F.max(F.size(pieces))).first()[0] or 0, 0)
+        width = min(width, cap) if cap else width
     names = [f"{column}_{i + 1}" for i in range(width)]
     require_free(names, [c for c in df.columns if c != column], "split")
     held = free_name("__pieces", df.columns)

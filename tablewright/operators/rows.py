@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.base import value
+from ..functions.attempt import attempt, regex_groups
+from ..functions.base import num, value
 from ..functions.logic import ERROR_SUFFIX
 from ..plans.layout import RN, SMALL_ROWS, TOP_ROWS, positions, top
 from ..plans.names import (
@@ -17,6 +18,7 @@ from ..plans.names import (
 )
 from ..streaming import require_batch
 from .columns import as_column
+from .types import physical_type
 
 SLICE_MODES = ("first", "last", "removeFirst", "removeLast")
 
@@ -26,17 +28,17 @@ SLICE_MODES = ("first", "last", "removeFirst", "removeLast")
 
 def filter_rows(df: DataFrame, condition: Column | str) -> DataFrame:
     """Rows where the condition is true; null and failing rows are dropped."""
-    return df.filter(as_column(condition))
+    return df.filter(attempt(as_column(condition)))
 
 
 def value_condition(df: DataFrame, column: str, op: str, target=None) -> Column:
     """A comparison, or ``is_null``, ``not_null``, ``is_error``, ``not_error``."""
     c = ref(column)
     if op in ("==", "!="):
-        same = c.isNull() if target is None else c.eqNullSafe(value(target))
+        same = c.isNull() if target is None else _same(df, column, target)
         return same if op == "==" else ~same
     if op in (">", ">=", "<", "<="):
-        t = value(target)
+        c, t = _comparable(df, column, target)
         return {">": c > t, ">=": c >= t, "<": c < t, "<=": c <= t}[op]
     if op in ("is_null", "not_null"):
         return c.isNull() if op == "is_null" else c.isNotNull()
@@ -47,6 +49,35 @@ def value_condition(df: DataFrame, column: str, op: str, target=None) -> Column:
     raise ValueError(f"unknown comparison: {op}")
 
 
+def _unlike(df: DataFrame, column: str, x) -> bool:
+    """A Python value of another kind than the column: text beside numbers, for example."""
+    if isinstance(x, Column) or x is None:
+        return False
+    kinds = {bool: {"boolean"}, int: {"integer", "float"}, float: {"integer", "float"}, str: {"string", "date", "datetime"}}
+    return physical_type(df.schema[column].dataType) not in kinds.get(type(x), {"date", "datetime", "string", "json"})
+
+
+def _same(df: DataFrame, column: str, target) -> Column:
+    """Values of unlike kinds never match; text that isn't a date doesn't match a date."""
+    if _unlike(df, column, target):
+        return F.lit(False)
+    return F.coalesce(attempt(ref(column).eqNullSafe(value(target))), F.lit(False))
+
+
+def _comparable(df: DataFrame, column: str, target) -> tuple[Column, Column]:
+    """Column and value for an order comparison: as numbers if they are unlike, null where that fails."""
+    if not _unlike(df, column, target):
+        return ref(column), attempt(value(target).cast(df.schema[column].dataType)) if isinstance(target, str) else value(target)
+    return num(ref(column)), num(value(target))
+
+
+def _beside(df: DataFrame, column: str, new) -> tuple[Column, Column]:
+    """Column and replacement in one type: text if they are unlike."""
+    if _unlike(df, column, new):
+        return ref(column).cast("string"), value(new).cast("string")
+    return ref(column), value(new)
+
+
 def filter_value(df: DataFrame, column: str, op: str, target=None) -> DataFrame:
     require_columns(df, [column])
     return df.filter(value_condition(df, column, op, target))
@@ -55,7 +86,9 @@ def filter_value(df: DataFrame, column: str, op: str, target=None) -> DataFrame:
 def filter_range(df: DataFrame, column: str, low, high) -> DataFrame:
     """Both ends included."""
     require_columns(df, [column])
-    return df.filter(ref(column).between(value(low), value(high)))
+    c, least = _comparable(df, column, low)
+    d, most = _comparable(df, column, high)
+    return df.filter((c >= least) & (d <= most))
 
 
 # Replacement ----------------------------------------------------------------
@@ -63,13 +96,15 @@ def filter_range(df: DataFrame, column: str, low, high) -> DataFrame:
 
 def replace_value(df: DataFrame, column: str, find, replacement) -> DataFrame:
     """Exact equality, where null equals null."""
-    c = ref(column)
-    found = c.isNull() if find is None else c.eqNullSafe(value(find))
-    return df.withColumn(column, F.when(found, value(replacement)).otherwise(c))
+    found = ref(column).isNull() if find is None else _same(df, column, find)
+    c, new = _beside(df, column, replacement)
+    return df.withColumn(column, F.when(found, new).otherwise(c))
 
 
 def replace_regex(df: DataFrame, column: str, pattern: str, replacement: str = "") -> DataFrame:
-    """All matches; the column becomes text."""
+    """All matches; the column becomes text. An invalid pattern leaves the values."""
+    if regex_groups(pattern) is None:
+        return df.withColumn(column, ref(column).cast("string"))
     return df.withColumn(column, F.regexp_replace(ref(column).cast("string"), pattern, replacement))
 
 
@@ -79,7 +114,8 @@ def replace_nulls(df: DataFrame, column: str, replacement) -> DataFrame:
     missing = ref(column).isNull()
     if error in df.columns:
         missing = missing & ref(error).isNull()
-    return df.withColumn(column, F.when(missing, value(replacement)).otherwise(ref(column)))
+    c, new = _beside(df, column, replacement)
+    return df.withColumn(column, F.when(missing, new).otherwise(c))
 
 
 def replace_errors(df: DataFrame, column: str, replacement) -> DataFrame:
@@ -87,7 +123,8 @@ def replace_errors(df: DataFrame, column: str, replacement) -> DataFrame:
     error = column + ERROR_SUFFIX
     if error not in df.columns:
         return df
-    fixed = F.when(ref(error).isNotNull(), value(replacement)).otherwise(ref(column))
+    c, new = _beside(df, column, replacement)
+    fixed = F.when(ref(error).isNotNull(), new).otherwise(c)
     return df.withColumn(column, fixed).withColumn(error, F.lit(None).cast("string"))
 
 
@@ -133,13 +170,18 @@ def _without(df: DataFrame, order_by: Order, count: int, reverse: bool) -> DataF
         head = df.orderBy(*sort_columns(items)).limit(count + 1)
         back = [(n, not d) for n, d in items]
         edge = head.orderBy(*sort_columns(back)).limit(2).select(*[ref(n) for n, _ in items]).collect()
-        if len(edge) == 2 and edge[0] != edge[1] and head.count() == count + 1:
+        if len(edge) == 2 and not _equal_rows(*edge) and head.count() == count + 1:
             return df.filter(_after(df, items, edge[1]))
     numbered = positions(df, order_by)
     keep = F.col(RN) <= df.count() - count if reverse else F.col(RN) > count
     return numbered.filter(keep).drop(RN)
 
 
+def _equal_rows(a, b) -> bool:
+    """As Spark compares: NaN equals NaN."""
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
 def _after(df: DataFrame, items: Sequence[tuple[str, bool]], row) -> Column:
     """Rows strictly behind ``row`` in the order, compared column by column."""
     result = F.lit(False)

@@ -173,14 +173,20 @@ BOOLEAN, INTEGER, ZERO_LED, FLOAT, JSON, BAD_JSON, DATETIME, DATE, OTHER = (1 <<
 
 
 def _text_class(c: Column) -> Column:
-    """One class per cell, 0 when empty. The first fitting branch ends the work."""
+    """One class per cell, 0 when empty. The first fitting branch ends the work.
+
+    A cell has a class only if its converter gives a value: whole numbers beyond 64 bits,
+    which a double would change, and dates that don't exist stay text.
+    """
     finite = F.abs(c.try_cast("double")) < float("inf")
+    whole = c.rlike(INTEGER_TEXT) & c.try_cast("bigint").isNotNull()
+    exact = finite & ~c.rlike(INTEGER_TEXT)
     return (
         F.when(c.isNull() | (c == ""), 0)
-        .when(c.rlike(NUMBER_TEXT), F.when(c.rlike(LEADING_ZERO_TEXT), ZERO_LED).when(c.rlike(INTEGER_TEXT), INTEGER).when(finite, FLOAT).otherwise(OTHER))
+        .when(c.rlike(NUMBER_TEXT), F.when(c.rlike(LEADING_ZERO_TEXT), ZERO_LED).when(whole, INTEGER).when(exact, FLOAT).otherwise(OTHER))
         .when(c.rlike(JSON_TEXT), F.when(F.try_parse_json(c).isNotNull(), JSON).otherwise(BAD_JSON))
-        .when(c.rlike(DATE_TEXT), DATE)
-        .when(c.rlike(DATETIME_TEXT), DATETIME)
+        .when(c.rlike(DATE_TEXT) & as_ts(c).isNotNull(), DATE)
+        .when(c.rlike(DATETIME_TEXT) & as_ts(c).isNotNull(), DATETIME)
         .when(c.rlike(BOOLEAN_TEXT), BOOLEAN)
         .otherwise(OTHER)
     )

@@ -475,6 +475,8 @@ def _block_carry(df: DataFrame, members, size: int, shift: int, group: list[Colu
     per_block = _by_block(df, size, shift).groupBy(*group, BLK).agg(*parts)
     whole = Window.partitionBy(*group)
     forward, back = whole.orderBy(BLK), whole.orderBy(F.col(BLK).desc())
+    centred = [f"__p{i}" for i, s in members if s.fn in ("stdev", "variance")]
+    per_block = per_block.withColumns({f"{p}_center": F.avg(f"{p}_mean").over(whole) for p in centred}) if centred else per_block
     earlier, later = _framed(forward, back, None, -1), _framed(forward, back, 1, None)
     merged: list[Column] = []
     for i, s in members:
@@ -505,10 +507,11 @@ def _merge_over(s: Spec, i: int, w) -> dict[str, Column]:
         return {"product": F.product(p["product"]).over(w)}
     if s.fn in ("mean", "average"):
         return {"sum": F.sum(p["sum"]).over(w), "n": F.sum(p["n"]).over(w)}
-    n = F.sum(p["n"]).over(w)
-    mean = F.try_divide(F.sum(p["n"] * p["mean"]).over(w), n)
-    square = F.try_divide(F.sum(p["n"] * (p["var"] + p["mean"] * p["mean"])).over(w), n)
-    return {"n": n, "mean": mean, "var": F.greatest(square - mean * mean, F.lit(0.0))}
+    # Squares of distances from one centre of the group: squares of the values themselves would cancel.
+    n, away = F.sum(p["n"]).over(w), p["mean"] - F.col(f"__p{i}_center")
+    shift = F.try_divide(F.sum(p["n"] * away).over(w), n)
+    square = F.try_divide(F.sum(p["n"] * (p["var"] + away * away)).over(w), n)
+    return {"n": n, "mean": F.max(f"__p{i}_center").over(w) + shift, "var": F.greatest(square - shift * shift, F.lit(0.0))}
 
 
 def _merged(s: Spec, i: int) -> Column:

@@ -67,7 +67,7 @@ STEPS: dict[str, Callable[[DataFrame, Any, Tables], DataFrame]] = {
     "derive": lambda df, o, t: op.derive(df, o),
     "conditional": lambda df, o, t: op.conditional(
         df, o["column"], [(c["when"], as_column(c["then"])) for c in o["conditions"]],
-        as_column(o["else"]) if o.get("else") else None,
+        as_column(o["else"]) if "else" in o else None,
     ),
     "filter": lambda df, o, t: op.filter_rows(df, o),
     "replace": lambda df, o, t: _replace(df, o),
@@ -184,14 +184,16 @@ def bind_sources(spark: SparkSession, job: Mapping[str, Any], paths: Mapping[str
     tables = {}
     for name, source in job["sources"].items():
         path, parsing = paths[name], source.get("parsing", {})
-        if path.endswith(".parquet"):
+        kind = source.get("format") or files.detect_format(spark, path)
+        if kind == "parquet":
             df = spark.read.parquet(path)
-        elif path.endswith((".json", ".jsonl")):
-            df = files.read_json(spark, path, parsing.get("path", ""), True, True, path.endswith(".jsonl"))
+        elif kind in ("json", "jsonl"):
+            df = files.read_json(spark, path, parsing.get("path", ""), True, True, kind == "jsonl")
         else:
             df = files.read_csv(
                 spark, path, parsing.get("delimiter"), parsing.get("headerMode", "first-row"),
-                parsing.get("customHeaders", ()), encoding=parsing.get("encoding", "UTF-8"),
+                parsing.get("customHeaders", ()), parsing.get("skipFirstRow", True), encoding=parsing.get("encoding", "UTF-8"),
+                strict=parsing.get("strict", True), keep_ragged=parsing.get("keepRagged", False), multiline=parsing.get("multiline"),
             )
         expected = {c["name"]: c["type"] for c in source.get("columns", ())}
         if expected:

@@ -27,6 +27,23 @@ def detect_delimiter(spark: SparkSession, path, encoding: str = "UTF-8") -> str:
     return best if best in line else DELIMITERS[0]
 
 
+def has_open_quotes(spark: SparkSession, path, encoding: str = "UTF-8") -> bool:
+    """A line holds an odd number of quotes: a quoted cell goes on in the next one, as far as lines can tell."""
+    if encoding.upper().replace("-", "") not in ("UTF8", "ASCII", "USASCII", "ISO88591", "LATIN1", "WINDOWS1252"):
+        return True  # lines of wider encodings can't be told apart by bytes
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def detect_format(spark: SparkSession, path: str) -> str:
+    """parquet, json, jsonl or csv: by suffix, otherwise (a folder of parts) by its first line."""
+    for suffix in ("parquet", "jsonl", "json", "csv", "tsv", "txt"):
+        if path.endswith(f".{suffix}"):
+            return suffix if suffix in ("parquet", "jsonl", "json") else "csv"
+    row = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
+    return "jsonl" if row and row[0].lstrip().startswith("{") else "csv"
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -37,24 +54,28 @@ def read_csv(
     encoding: str = "UTF-8",
     infer: bool = True,
     column_types: dict[str, str] | None = None,
-    strict: bool = False,
+    strict: bool = True,
     keep_ragged: bool = False,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """A CSV file or folder as a table.
 
     Header modes: ``first-row`` (repeated names get ``_2``, ``_3``),
     ``auto-generate`` (``column_1``, …), ``manual`` (``names``; ``skip_first``
     says whether the first row is a header to drop). Values are typed by one
-    pass over all rows, or by ``column_types`` without that pass. Short rows end
-    in nulls, long rows lose the excess; ``keep_ragged`` keeps such rows' text in
-    ``_ragged`` (to be read beside another column) and ``strict`` fails on them. Quoted line breaks need
-    ``multiline``, which keeps Spark from splitting a file.
+    pass over all rows, or by ``column_types`` without that pass. Rows with too few
+    or too many fields fail the read. ``keep_ragged`` keeps such rows' text in ``_ragged``
+    (to be read beside another column); without ``strict`` short rows end in nulls and long
+    rows lose the excess. Quoted line breaks need ``multiline``, which keeps Spark from
+    splitting a file; by default one pass over the lines finds out whether a quote is left open.
     """
     if header not in HEADER_MODES:
         raise ValueError(f"header must be one of {HEADER_MODES}")
     sep = delimiter or detect_delimiter(spark, path, encoding)
-    first = spark.read.csv(path, sep=sep, header=False, encoding=encoding, multiLine=multiline).first()
+    strict = strict and not keep_ragged
+    if multiline is None:
+        multiline = has_open_quotes(spark, path, encoding)
+    first = spark.read.csv(path, sep=sep, header=False, encoding=encoding, multiLine=multiline, escape='"').first()
     found = list(first) if first else []
     if header == "manual":
         if not names:

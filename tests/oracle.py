@@ -26,8 +26,10 @@ def connect(folder: str):
 
 
 def _cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return ""
+    if v is None:
+        return "<null>"
+    if isinstance(v, float) and math.isnan(v):
+        return "<nan>"
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
