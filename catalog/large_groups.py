@@ -11,7 +11,7 @@ from .registry import QUERIES, SQL
 LIMIT = "1500"
 REPEATED = (
     "agg_all_functions", "add_index", "window_rank_whole_table", "window_whole_table", "window_null_partition",
-    "impute_forward", "impute_backward", "impute_linear", "impute_median", "profile_numeric", "boxplot", "describe_part",
+    "impute_forward", "impute_backward", "impute_linear", "impute_median", "profile_numeric", "boxplot", "describe_part", "running_spread_far_from_zero",
 )
 
 
