@@ -44,7 +44,7 @@ def lists(values, lengths, kind: pa.DataType) -> pa.ListArray:
 
 
 def broadcast_ids(ids: DataFrame) -> DataFrame:
-    """A staged table of one long column, with a broadcast hint only if its count keeps it below `BROADCAST_BYTES`."""
+    """A staged table of a few short columns, with a broadcast hint only if its count keeps it below `BROADCAST_BYTES`."""
     return F.broadcast(ids) if ids.count() * 64 <= BROADCAST_BYTES else ids
 
 

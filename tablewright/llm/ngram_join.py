@@ -123,8 +123,10 @@ class Join:
         self.per_doc = stage(map_texts(self.docs, partial(_nodes, n_words=n_words, percent=percent), _NODE))
         known = self.per_doc.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
         self.classes = stage(known.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-        copies = known.join(self.classes.filter("copies > 1"), ["hi", "lo", "n"]).filter("doc_id <> id").select("doc_id").distinct()
-        self.nodes = known.join(broadcast_ids(stage(copies)), "doc_id", "left_anti").withColumnRenamed("doc_id", "id")
+        # By id and set: an id that has two texts may stand for one class and be a copy in another.
+        key = ["doc_id", "hi", "lo"]
+        copies = known.join(self.classes.filter("copies > 1"), ["hi", "lo", "n"]).filter("doc_id <> id").select(*key).distinct()
+        self.nodes = known.join(broadcast_ids(stage(copies)), key, "left_anti").withColumnRenamed("doc_id", "id")
 
     def postings(self) -> DataFrame:
         return self.nodes.select(F.explode("prefix").alias("token"), "id", "n")
