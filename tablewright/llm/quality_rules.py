@@ -24,7 +24,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeats", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "100 * n_symbols > 20 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("long_words", "word_chars > 12 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
     ("capitals", "100 * n_capitals > 40 * word_chars"),
@@ -136,7 +136,7 @@ m as (
   from w left join c using (k)),
 f as (
   select *, cast((n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (100 * n_symbols > 20 * n_words)::int
-    + 8 * (100 * n_dup_lines > 30 * n_lines)::int + 16 * (word_chars > 12 * n_words)::int + 32 * (word_chars < 2 * n_words)::int
+    + 8 * (100 * n_dup_lines > 50 * n_lines)::int + 16 * (word_chars > 12 * n_words)::int + 32 * (word_chars < 2 * n_words)::int
     + 64 * (100 * n_capitals > 40 * word_chars)::int + 128 * (100 * n_exclamations > 20 * n_words)::int as bigint) as failures from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 as base_failed, failures = 0 as kept, failures from f
 """
