@@ -40,7 +40,8 @@ MARGIN_SHARE, MARGIN = 0.02, 4  # tokens posted beyond the prefix, for those tha
 BITS = 1024
 SEEDS = (np.uint64(0xA5A5_1234_9E37_79B9), np.uint64(0x5A5A_4321_7F4A_7C15))
 
-_NODE = "doc_id long, n int, p int, hi long, lo long, prefix array<long>, second array<int>, third array<int>, parity array<long>"
+_NODE = "doc_id long, n int, p int, hi long, lo long, prefix array<long>"
+_SIGNATURE = "id long, n int, second array<int>, third array<int>, parity array<long>"
 
 
 _TOKENS = "id long, n int, p int, posted int, tokens array<long>"
@@ -66,6 +67,18 @@ def _nodes(batch: pa.RecordBatch, n_words: int, percent: int):
         n = [len(s) for s in sets]
         p = [min(k, prefix_length(k, percent)) for k in n]
         posted = [s[: posted_length(len(s), percent)].view(np.int64) for s in sets]
+        # Two independent sums of mixed tokens name the set.
+        hi = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+        lo = np.array([mix(s ^ SEEDS[0]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+        columns = [ids, pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(hi), pa.array(lo), lists(np.concatenate(posted), [len(x) for x in posted], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "p", "hi", "lo", "prefix"])
+
+
+def _signatures(batch: pa.RecordBatch, n_words: int, percent: int):
+    """Prefix tokens under the other orders (32 bits of each) and parity bitmaps."""
+    for ids, sets in _sets(batch, n_words):
+        n = [len(s) for s in sets]
+        p = [min(k, prefix_length(k, percent)) for k in n]
         other = []
         for seed in SEEDS:
             own = []
@@ -74,17 +87,8 @@ def _nodes(batch: pa.RecordBatch, n_words: int, percent: int):
                 own.append(s[first].astype(np.uint32).view(np.int32))
             other.append(lists(np.concatenate(own), [len(x) for x in own], pa.int32()))
         parity = [np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
-        # Two independent sums of mixed tokens name the set.
-        hi = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-        lo = np.array([mix(s ^ SEEDS[0]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                ids, pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(hi), pa.array(lo),
-                lists(np.concatenate(posted), [len(x) for x in posted], pa.int64()), *other,
-                lists(np.concatenate(parity), [BITS // 64] * len(sets), pa.int64()),
-            ],
-            ["doc_id", "n", "p", "hi", "lo", "prefix", "second", "third", "parity"],
-        )
+        columns = [ids, pa.array(n, pa.int32()), *other, lists(np.concatenate(parity), [BITS // 64] * len(sets), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "second", "third", "parity"])
 
 
 def _whole_sets(batch: pa.RecordBatch, n_words: int):
@@ -152,8 +156,8 @@ class Join:
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs that share prefix tokens under the other orders and whose bitmaps allow the overlap."""
         out = stage(pairs.groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"))
-        ends = stage(out.select(F.col("u").alias("id")).union(out.select("v")).distinct())
-        own = self.nodes.select("id", "n", "second", "third", "parity").join(broadcast_ids(ends), "id", "left_semi")
+        ends = stage(out.select(F.col("u").alias("doc_id")).union(out.select("v")).distinct())
+        own = stage(map_texts(self.texts_of(ends), partial(_signatures, n_words=self.n_words, percent=self.percent), _SIGNATURE))
         for end in ("u", "v"):
             out = out.join(own.withColumnsRenamed({"id": end, **{c: f"{c}_{end}" for c in ("n", "second", "third", "parity")}}), end)
         differ = F.aggregate(F.zip_with("parity_u", "parity_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
