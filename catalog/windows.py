@@ -144,6 +144,19 @@ def window_mode(t):
     return op.select(out, ["event_id", "usual"])
 
 
+@query("""
+select event_id,
+  round(quantile_cont(value, 0.5) over (order by ts, event_id rows between unbounded preceding and current row), 6) as so_far,
+  round(quantile_cont(value, 0.5) over (order by ts, event_id rows between 2 following and unbounded following), 6) as to_come,
+  round(quantile_cont(value, 0.5) over (partition by event_type order by ts, event_id rows between unbounded preceding and 3 following), 6) as of_type
+from events
+""")
+def window_running_median(t):
+    out = op.window(t.events, {"so_far": ("median", "value"), "to_come": ("median", "value")}, BY_TIME, frames={"to_come": (2, None)})
+    out = op.window(out, {"of_type": ("median", "value")}, BY_TIME, ["event_type"], {"of_type": (None, 3)})
+    return op.select(rounded(out, 6, "so_far", "to_come", "of_type"), ["event_id", "so_far", "to_come", "of_type"])
+
+
 @query("""
 with e as (select *, nullif(event_type, 'view') as kind from events)
 select event_id, row_number() over (partition by kind order by ts, event_id) as rn from e

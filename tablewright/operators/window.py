@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.layout import CNT, RN, attach, hot_groups, hot_limit, number_large, split_hot, stage
+from ..plans.layout import CNT, RN, attach, broadcast_if_small, hot_groups, hot_limit, number_large, split_hot, stage
 from ..plans.names import Order, UniqueOrder, order_items, ref, require_columns, sort_columns, total_order
 from ..streaming import require_batch
 
@@ -86,8 +86,7 @@ def window(
     ROWS offsets, ``None`` is unbounded. Ranking, offsets and first / last / nth
     see the whole group. Ties of the order are broken by the other columns,
     except in rank, dense_rank, avg_rank, percent_rank and cume_dist, where they
-    count as peers. The one combination without a distributed form is a median
-    over a half-unbounded frame: it is refused in groups above the hot limit.
+    count as peers.
     """
     require_batch(df, "window")
     keys, specs = list(partition_by), parse_specs(derive, frames)
@@ -154,12 +153,18 @@ def _running_mode(df: DataFrame, s: Spec, out: str, order, keys: list[str]) -> D
 
 
 def _running_median(df: DataFrame, s: Spec, out: str, order, keys: list[str]) -> DataFrame:
-    """Two heaps per group, in tasks that hold one group of bounded size each."""
-    if hot_groups(df, keys) is not None:
-        raise ValueError(
-            f"{s.out}: a median over a half-unbounded frame needs groups of at most {hot_limit(df.sparkSession)} rows; "
-            "use a bounded or a whole-group frame"
-        )
+    """Two heaps: one task per group, or per block of a group above the hot limit."""
+    hot = hot_groups(df, keys)
+    if hot is None:
+        return _group_medians(df, s, out, order, keys)
+    if not keys:
+        return _block_medians(df, s, out, order, keys, hot.first()[CNT])
+    cold_rows, hot_rows = split_hot(df, keys, hot)
+    rows = hot.agg(F.sum(CNT)).first()[0]
+    return _group_medians(cold_rows, s, out, order, keys).unionByName(_block_medians(hot_rows, s, out, order, keys, rows))
+
+
+def _group_medians(df: DataFrame, s: Spec, out: str, order, keys: list[str]) -> DataFrame:
     lo, hi = s.frame
     position = f"{out}_rn"
     numbered = plain_windows(df, [Spec(position, "row_number")], order, keys)
@@ -176,6 +181,108 @@ def _running_median(df: DataFrame, s: Spec, out: str, order, keys: list[str]) ->
     return attach_rows(numbered, found, [*keys, position]).drop(position)
 
 
+def _block_medians(df: DataFrame, s: Spec, out: str, order, keys: list[str], rows: int) -> DataFrame:
+    """The same for groups of any size, in blocks of consecutive rows.
+
+    While a block adds m values to the N before it, the median moves among those of
+    the N whose rank is within about m / 2 of N / 2. The values are ranked once and
+    cut into buckets; counts of (block, bucket), summed over the earlier blocks, name
+    the buckets that hold those ranks. A block task gets its own rows and the earlier
+    values of these buckets: at most `hot_limit` rows in all. A frame that reaches the
+    end counts positions from the end.
+    """
+    lo, hi = s.frame
+    shift = hi if lo is None else -lo
+    size = max(1, hot_limit(df.sparkSession) // 4 - 1)
+    at, x, bucket, group = f"{out}_at", f"{out}_x", f"{out}_bucket", [ref(k) for k in keys]
+    place = F.col(RN) if lo is None else F.col(CNT) - F.col(RN) + 1
+    numbered = number_large(df, keys, order, rows).withColumn(at, place)
+    block = F.floor((F.col(at) - 1) / size).cast("long").alias(BLK)
+    own = numbered.select(*group, block, F.col(at), F.nanvl(ref(s.column).cast("double"), F.lit(None)).alias(x))
+    ranked = number_large(own.filter(F.col(x).isNotNull()), keys, UniqueOrder([x, at]), rows)
+    ranked = ranked.select(*group, BLK, at, x, F.floor((F.col(RN) - 1) / size).cast("long").alias(bucket))
+    needs = _median_buckets(own, ranked, keys, bucket)
+    # By position: the rows of one bucket lie together, and many blocks may need them.
+    spread = ranked.repartition(*group, F.col(at)).withColumnRenamed(BLK, f"{BLK}_of")
+    near = attach_needs(spread, needs, [*keys, bucket]).filter(F.col(f"{BLK}_of") < F.col(BLK))
+    near = near.select(*group, BLK, F.lit(None).cast("long").alias(at), x, "__n", "__below")
+    tasks = own.withColumns({c: F.lit(None).cast("long") for c in ("__n", "__below")}).unionByName(near)
+    fields = [df.schema[k] for k in keys] + [T.StructField(at, T.LongType()), T.StructField(out, T.DoubleType())]
+
+    def medians(rows):
+        mine = rows[at].notna()
+        added, earlier = rows[mine].sort_values(at), rows[~mine]
+        n, below = (int(earlier["__n"].iloc[0]), int(earlier["__below"].min())) if len(earlier) else (0, 0)
+        added[out] = continued_medians(np.sort(earlier[x].to_numpy()), n, below, added[x].to_numpy())
+        return added[[*keys, at, out]].astype({at: "int64"})
+
+    found = stage(tasks.groupBy(*group, F.col(BLK)).applyInPandas(medians, T.StructType(fields)))
+    if shift == 0:
+        return attach_rows(numbered, found, [*keys, at]).drop(at, RN, CNT)
+    # A row takes the median at its frame's end; places outside the group match none and differ, to spread the rows.
+    end = F.col(at) + shift
+    outside = end > F.col(CNT)
+    moved = found.withColumnsRenamed({**{k: f"__k_{k}" for k in keys}, at: "__end_at"})
+    cond = reduce(lambda a, b: a & b, [ref(k).eqNullSafe(ref(f"__k_{k}")) for k in keys], F.col("__end") == F.col("__end_at"))
+    rows_at = numbered.withColumn("__end", F.when(outside, -F.col(at)).otherwise(end))
+    joined = rows_at.join(moved, cond, "left").drop("__end", "__end_at", *[f"__k_{k}" for k in keys])
+    if shift > 0:
+        last = found.groupBy(*group).agg(F.max_by(out, at).alias("__last"))
+        joined = attach(joined, last, keys).withColumn(out, F.when(outside, F.col("__last")).otherwise(F.col(out))).drop("__last")
+    return joined.drop(at, RN, CNT)
+
+
+def _median_buckets(own: DataFrame, ranked: DataFrame, keys: list[str], bucket: str) -> DataFrame:
+    """(keys, bucket, block, __n, __below): the buckets of earlier values among which a block's medians move.
+
+    ``__n`` counts the values before the block, ``__below`` those of them in lower buckets.
+    """
+    group = [ref(k) for k in keys]
+    cells = stage(ranked.groupBy(*group, BLK, bucket).agg(F.count(F.lit(1)).alias("__here")))
+    blocks, buckets = own.select(*group, BLK).distinct(), cells.select(*group, bucket).distinct()
+    grid = attach_needs(blocks, buckets, keys)
+    cells = cells.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, BLK, bucket]})
+    cond = reduce(lambda a, b: a & b, [ref(k).eqNullSafe(ref(f"__k_{k}")) for k in [*keys, BLK, bucket]])
+    grid = grid.join(cells, cond, "left").select(*group, BLK, bucket, F.coalesce("__here", F.lit(0)).alias("__here"))
+    by_block, by_bucket = Window.partitionBy(*group, bucket).orderBy(BLK), Window.partitionBy(*group, BLK)
+    before = Window.unboundedPreceding
+    grid = grid.withColumn("__earlier", F.coalesce(F.sum("__here").over(by_block.rowsBetween(before, -1)), F.lit(0)))
+    grid = grid.select(
+        *group, BLK, bucket, "__earlier", F.sum("__earlier").over(by_bucket).alias("__n"), F.sum("__here").over(by_bucket).alias("__m"),
+        F.coalesce(F.sum("__earlier").over(by_bucket.orderBy(bucket).rowsBetween(before, -1)), F.lit(0)).alias("__below"),
+    ).filter("__earlier > 0")
+    first = F.greatest(F.lit(1), F.floor((F.col("__n") - F.col("__m")) / 2))
+    last = F.least(F.col("__n"), F.floor((F.col("__n") + F.col("__m")) / 2) + 1)
+    return grid.filter((F.col("__below") < last) & (F.col("__below") + F.col("__earlier") >= first)).select(*group, bucket, BLK, "__n", "__below")
+
+
+def attach_needs(df: DataFrame, needs: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on null-safe keys with any number of matches; all pairs if there are no keys."""
+    small = broadcast_if_small(needs.withColumnsRenamed({k: f"__k_{k}" for k in keys}))
+    cond = reduce(lambda a, b: a & b, [ref(k).eqNullSafe(ref(f"__k_{k}")) for k in keys], F.lit(True))
+    return df.join(small, cond).drop(*[f"__k_{k}" for k in keys])
+
+
+def continued_medians(near, n: int, below: int, values):
+    """Medians after each of ``values`` is added to ``n`` earlier ones; NaN is missing.
+
+    ``near`` has the sorted earlier values among which the median moves, ``below``
+    of the others are smaller.
+    """
+    half = (n + 1) // 2 - below
+    low, high = (-near[:half][::-1]).tolist(), near[half:].tolist()
+    running = np.full(len(values), np.nan)
+    for i, v in enumerate(values.tolist()):
+        if v == v:
+            heapq.heappush(high, -heapq.heappushpop(low, -v))
+            n += 1
+            if len(low) < (n + 1) // 2 - below:
+                heapq.heappush(low, -heapq.heappop(high))
+        if n:
+            running[i] = -low[0] if n % 2 else (high[0] - low[0]) / 2
+    return running
+
+
 def attach_rows(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one join on null-safe keys."""
     renamed = found.withColumnsRenamed({k: f"__k_{k}" for k in keys})

@@ -6,6 +6,7 @@ import pytest
 from helpers import sorted_rows
 from pyspark.sql import functions as F
 
+from tablewright import UniqueOrder
 from tablewright import operators as op
 from tablewright.plans.layout import HOT_ROWS_CONF
 
@@ -96,6 +97,20 @@ def test_half_unbounded_median_refuses_large_groups(skewed, tiny_groups):
         op.window(skewed, {"m": ("median", "v")}, "o", ["g"])
 
 
+@pytest.mark.parametrize("position, frame", list(enumerate([(None, 0), (None, -2), (None, 3), (0, None), (2, None), (-3, None), (None, 900)])))
+def test_half_unbounded_median_of_large_groups(spark, skewed, position, frame):
+    keys = [] if position % 2 else ["g"]
+    plain, large = both(spark, lambda: op.window(skewed, {"m": ("median", "v"), "n": ("count", "v")}, "o", keys, {k: frame for k in "mn"}))
+    assert plain == large and len(plain) == 500
+
+
+@pytest.mark.parametrize("value", ["id", "-id", "3", "case when id < 60 then 100 else 1000 * (id % 2) + id end", "cast(null as double)", "if(id % 3 = 0, double('nan'), id % 7)"])
+def test_running_median_of_awkward_large_values(spark, value):
+    d = spark.range(0, 400, 1, 5).selectExpr("id", f"{value} as v")
+    plain, large = both(spark, lambda: op.window(d, {"m": ("median", "v")}, UniqueOrder(["id"])))
+    assert plain == large and len(plain) == 400
+
+
 def test_running_product(spark, skewed):
     d = skewed.withColumn("w", 1 + F.col("v") / 1000)
     plain, large = both(spark, lambda: op.window(d, {"p": ("product", "w")}, "o"))
