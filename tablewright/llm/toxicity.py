@@ -114,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     The class prior is the share of toxic rows among the labels; otherwise only rows with
     ``toxic = 1`` are used. Of these and of all texts, samples of at most ``positives`` and
-    ``unlabelled`` documents are drawn by a hash of the id. Without a toxic row, or without
+    ``unlabelled`` documents are drawn by a hash of the id, of rows that share one the
+    text first in order. Without a toxic row, or without
     a clean one, the scores are constant: the prior.
     """
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
@@ -125,9 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return constant
     draw = lambda ids, n: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     marked = draw(labels.filter("toxic = 1").select("doc_id").distinct(), positives).withColumn("toxic", F.lit(1))
-    others = draw(docs.select("doc_id").filter("doc_id is not null"), unlabelled).distinct().withColumn("toxic", F.lit(0))
+    others = draw(docs.select("doc_id").filter("doc_id is not null").distinct(), unlabelled).withColumn("toxic", F.lit(0))
     wanted = stage(marked.union(others))  # at most positives + unlabelled ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")  # the bound holds for rows too
     sample = stage(map_texts(rows, _features, "toxic int, tokens array<int>")).toArrow()
     toxic, tokens = sample.column("toxic").to_numpy(), sample.column("tokens").combine_chunks()
     if not toxic.any() or toxic.all():

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tablewright.llm import toxicity as toxicity_module
 from tablewright.llm.quality_classifier import platt, quality
 from tablewright.llm.toxicity import clean_documents, fit, score, toxicity, train
 
@@ -38,6 +39,15 @@ def test_toxicity_of_held_out_documents(spark):
     assert {r["doc_id"]: r["score"] for r in again} == {r["doc_id"]: r["score"] for r in out}
 
 
+def test_repeated_ids_do_not_exceed_the_samples(spark, monkeypatch):
+    docs, labels = corpus(spark, 120)
+    many = docs.unionByName(spark.range(400).selectExpr("6L as doc_id", "concat('vile ', id) as text", "'en' as lang", "'s0' as source"))
+    seen = []
+    monkeypatch.setattr(toxicity_module, "fit", lambda tokens, positive, prior: seen.append((len(tokens), int(positive.sum()))) or fit(tokens, positive, prior))
+    train(many, labels.union(spark.createDataFrame([(6, 0, 1)], labels.schema)), 50, 20)
+    assert seen == [(31, 11)]
+
+
 def test_scores_come_from_texts_alone(spark):
     docs, labels = corpus(spark)
     model = train(docs, labels)
