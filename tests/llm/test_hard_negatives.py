@@ -66,13 +66,15 @@ def test_products_beyond_doubles():
 def test_boxes_are_pruned():
     """Clustered vectors: most leaves are never opened, and the finds are those of a full scan."""
     rng = np.random.default_rng(1)
-    values = np.floor(256 * (np.repeat(np.eye(16), 200, 0) + rng.normal(size=(3200, 16)) * 0.02))
+    centres = np.array([(x, y, 1 - x) for x in range(4) for y in range(4)], float)
+    values = np.floor(256 * (np.repeat(centres, 200, 0) + rng.normal(size=(3200, 3)) * 0.02))
     ids, labels = np.arange(3200), np.repeat(np.arange(16), 200)
     leaves = [(ids[r].astype(np.int64).tobytes(), labels[r].astype(np.int64).tobytes(), hn._narrow(values[r])) for r in hn.tiles(values, 32)]
     assert sorted(np.concatenate(hn.tiles(values, 32)).tolist()) == ids.tolist() and max(len(r) for r in hn.tiles(values, 32)) <= 32
-    tree = hn.Tree(16, leaves)
+    tree = hn.Tree(3, leaves)
     ask = values[[0, 1, 2]]
     low, high = np.array([60_000, -hn.MOST, 0]), np.array([70_000, hn.MOST, 500])
+    assert len(leaves) >= 100
     slot, found, score = tree.search(ask, labels[[0, 1, 2]], ids[[0, 1, 2]], np.arange(3), low, high, 4, False)
     full = hn.products(ask, values)
     for s in range(3):
