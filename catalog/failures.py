@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tablewright import functions as fn
 from tablewright import operators as op
 from tablewright import sources
+from tablewright.plans import jobs
 
 from .files import _folder
 from .registry import query, rounded
@@ -76,3 +77,64 @@ def csv_line_breaks(t):
     path = _folder(t)
     sources.write_csv(t.documents.select("doc_id", "text", "lang"), path)
     return sources.read_csv(t.spark, path)
+
+
+@query("""
+select o_orderkey, try_cast(o_orderstatus as integer) as n, try_cast(o_clerk as integer) is null and o_clerk is not null as failed,
+       case when o_custkey % 5 <> 0 then 100 // (o_custkey % 5) end as share, o_custkey % 5 = 0 as share_failed
+from (select *, case when o_orderkey % 2 = 0 then o_orderstatus else '17' end as o_clerk from orders)
+""")
+def derive_errors(t):
+    """A failure and a value of one expression; a null input isn't a failure."""
+    mixed = t.orders.withColumn("clerk", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("17"))
+    made = op.derive(mixed, {"n": "cast(o_orderstatus as int)", "c": "cast(clerk as int)", "share": "100 div (o_custkey % 5)"}, errors=True)
+    return made.select("o_orderkey", "n", F.col("c__error").isNotNull().alias("failed"), "share", F.col("share__error").isNotNull().alias("share_failed"))
+
+
+@query("""
+select o_orderkey, try_cast(s as integer) + 1 as n, try_cast(s as integer) + 2 as m, try_cast(s as integer) + 3 as k,
+       case when o_custkey % 7 <> 0 then round(o_totalprice / (o_custkey % 7) + 1, 6) end as x,
+       case when o_custkey % 7 <> 0 then round(o_totalprice / (o_custkey % 7) + 2, 6) end as y
+from (select *, case when o_orderkey % 3 = 0 then o_orderstatus else o_custkey::varchar end as s from orders)
+""")
+def derive_shared(t):
+    """Failing parts that several expressions share, also through an earlier column."""
+    mixed = t.orders.withColumn("s", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).otherwise(F.col("o_custkey").cast("string")))
+    ratio = "o_totalprice / (o_custkey % 7)"
+    made = op.derive(mixed, {"n": "cast(s as int) + 1", "m": "cast(s as int) + 2", "k": "n + 2", "x": f"{ratio} + 1", "y": f"{ratio} + 2"})
+    return rounded(op.select(made, ["o_orderkey", "n", "m", "k", "x", "y"]), 6, "x", "y")
+
+
+@query("""
+select o_orderkey, case when try_cast(s as integer) > 900 then 'high' when try_cast(s as integer) > 500 then 'middle' else 'low' end as class
+from (select *, case when o_orderkey % 3 = 0 then o_orderstatus else o_custkey::varchar end as s from orders)
+""")
+def conditional_shared(t):
+    mixed = t.orders.withColumn("s", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).otherwise(F.col("o_custkey").cast("string")))
+    made = op.conditional(mixed, "class", [("cast(s as int) > 900", "high"), ("cast(s as int) > 500", "middle")], "low")
+    return op.select(made, ["o_orderkey", "class"])
+
+
+@query("""
+select o_orderkey, case when o_custkey % 7 = 0 then -1 else round(o_totalprice / (o_custkey % 7), 6) end as ratio
+from orders where o_custkey % 7 = 0 or o_totalprice / nullif(o_custkey % 7, 0) < 100000
+""")
+def job_derive_errors(t):
+    """Failed cells of a derive that a later step of the job replaces."""
+    steps = [
+        {"derive": {"ratio": "o_totalprice / (o_custkey % 7)"}},
+        {"replace": {"column": "ratio", "matchMode": "errors", "replace": -1.0}},
+        {"filter": "ratio < 100000"},
+        {"select": ["o_orderkey", "ratio"]},
+    ]
+    return rounded(jobs.run_steps(t.orders, steps), 6, "ratio")
+
+
+@query("""
+select o_orderkey from orders
+where o_orderkey > 100 and o_orderstatus <> 'P' and o_custkey % 7 <> 0 and o_totalprice / nullif(o_custkey % 7, 0) between 20000 and 60000
+""")
+def filter_mixed(t):
+    """Parts that can't fail go to the scan, the others are tried."""
+    condition = "o_orderkey > 100 and o_totalprice / (o_custkey % 7) between 20000 and 60000 and o_orderstatus <> 'P'"
+    return op.select(op.filter_rows(t.orders, condition), ["o_orderkey"])

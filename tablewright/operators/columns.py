@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import FUNCTIONS, OPERATORS, dates, text
-from ..functions.attempt import attempt, failed
+from ..functions.attempt import attempt, attempt_struct, can_fail
 from ..functions.base import value
 from ..functions.logic import ERROR_SUFFIX
-from ..plans.names import ref, require_columns, require_free
+from ..plans.names import free_name, ref, require_columns, require_free
 
 MATCH_TYPES = ("prefix", "suffix", "contains", "regex")
 
@@ -91,18 +91,24 @@ def rename_pattern(df: DataFrame, find: str, replace: str, regex: bool = False)
     return rename(df, {a: b for a, b in renamed.items() if a != b})
 
 
-def derive(df: DataFrame, expressions: dict[str, Column | str | dict], errors: bool = False) -> DataFrame:
+def derive(df: DataFrame, expressions: dict[str, Column | str | dict], errors: bool | str = False) -> DataFrame:
     """Adds or replaces columns in the given order; later ones see earlier ones.
 
-    A cell that fails (a bad cast, a division by zero) is null; with ``errors`` its
-    message is in ``<column>__error``.
+    A cell that fails (a bad cast, a division by zero) is null. With ``errors`` its message is
+    in ``<column>__error``, which later replacements, imputations and profiles read;
+    ``errors="possible"`` leaves that column out where an expression can't fail.
     """
     for name, expression in expressions.items():
         c = as_column(expression)
-        new = {name: attempt(c)}
-        if errors:
-            new[name + ERROR_SUFFIX] = F.when(failed(c), F.lit(f"cannot evaluate {name}"))
-        df = df.withColumns(new)
+        if not errors or (errors == "possible" and not can_fail(df, c)):
+            gone = [name + ERROR_SUFFIX] if errors and name + ERROR_SUFFIX in df.columns else []  # of the value it replaces
+            df = df.withColumn(name, attempt(df, c)).drop(*gone)
+            continue
+        # Value and failure come from one evaluation.
+        tried = free_name("__tried", df.columns)
+        df = df.withColumn(tried, attempt_struct(df, c))
+        message = F.when(ref(tried).isNull(), F.lit(f"cannot evaluate {name}"))
+        df = df.withColumns({name: ref(tried)["v"], name + ERROR_SUFFIX: message}).drop(tried)
     return df
 
 
@@ -110,10 +116,10 @@ def conditional(df, column: str, conditions: Sequence[tuple[Column | str, object
     """The value of the first condition that is true; a condition that fails is not."""
     result = None
     for when, then in conditions:
-        result = (F if result is None else result).when(attempt(as_column(when)), attempt(value(then)))
+        result = (F if result is None else result).when(attempt(df, as_column(when)), attempt(df, value(then)))
     if result is None:
         raise ValueError("conditional needs at least one condition")
-    return df.withColumn(column, result.otherwise(attempt(value(otherwise))))
+    return df.withColumn(column, result.otherwise(attempt(df, value(otherwise))))
 
 
 def merge(df: DataFrame, columns: Sequence[str], output: str, separator: str = " ") -> DataFrame:

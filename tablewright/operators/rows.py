@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.attempt import attempt, regex_groups
+from ..functions.attempt import attempt, attempt_condition, can_fail, regex_groups
 from ..functions.base import num, value
 from ..functions.logic import ERROR_SUFFIX
 from ..plans.layout import RN, SMALL_ROWS, TOP_ROWS, positions, top
@@ -20,6 +20,7 @@ from ..streaming import require_batch
 from .columns import as_column
 from .types import physical_type
 
+# Names of the job format.
 SLICE_MODES = ("first", "last", "removeFirst", "removeLast")
 
 
@@ -27,16 +28,20 @@ SLICE_MODES = ("first", "last", "removeFirst", "removeLast")
 
 
 def filter_rows(df: DataFrame, condition: Column | str) -> DataFrame:
-    """Rows where the condition is true; null and failing rows are dropped."""
-    return df.filter(attempt(as_column(condition)))
+    """Rows where the condition is true; null and failing rows are dropped.
+
+    Of a condition joined by ANDs the parts that can't fail are left to the scan.
+    """
+    return df.filter(attempt_condition(df, as_column(condition)))
 
 
 def value_condition(df: DataFrame, column: str, op: str, target=None) -> Column:
     """A comparison, or ``is_null``, ``not_null``, ``is_error``, ``not_error``."""
     c = ref(column)
     if op in ("==", "!="):
-        same = c.isNull() if target is None else _same(df, column, target)
-        return same if op == "==" else ~same
+        if target is None:
+            return c.isNull() if op == "==" else c.isNotNull()
+        return _same(df, column, target) if op == "==" else _unequal(df, column, target)
     if op in (">", ">=", "<", "<="):
         c, t = _comparable(df, column, target)
         return {">": c > t, ">=": c >= t, "<": c < t, "<=": c <= t}[op]
@@ -61,13 +66,22 @@ def _same(df: DataFrame, column: str, target) -> Column:
     """Values of unlike kinds never match; text that isn't a date doesn't match a date."""
     if _unlike(df, column, target):
         return F.lit(False)
-    return F.coalesce(attempt(ref(column).eqNullSafe(value(target))), F.lit(False))
+    plain = ref(column) == value(target)
+    return F.coalesce(attempt(df, plain), F.lit(False)) if can_fail(df, plain) else plain
+
+
+def _unequal(df: DataFrame, column: str, target) -> Column:
+    """Null is unequal to every value."""
+    if _unlike(df, column, target):
+        return F.lit(True)
+    plain = ref(column).eqNullSafe(value(target))
+    return ~(F.coalesce(attempt(df, plain), F.lit(False)) if can_fail(df, plain) else plain)
 
 
 def _comparable(df: DataFrame, column: str, target) -> tuple[Column, Column]:
     """Column and value for an order comparison: as numbers if they are unlike, null where that fails."""
     if not _unlike(df, column, target):
-        return ref(column), attempt(value(target).cast(df.schema[column].dataType)) if isinstance(target, str) else value(target)
+        return ref(column), attempt(df, value(target).cast(df.schema[column].dataType)) if isinstance(target, str) else value(target)
     return num(ref(column)), num(value(target))
 
 

@@ -64,7 +64,7 @@ STEPS: dict[str, Callable[[DataFrame, Any, Tables], DataFrame]] = {
     "selectPattern": lambda df, o, t: op.select_pattern(df, o["pattern"], o["matchType"], o.get("include", ())),
     "removePattern": lambda df, o, t: op.remove_pattern(df, o["pattern"], o["matchType"]),
     "renamePattern": lambda df, o, t: op.rename_pattern(df, o["find"], o["replace"], o.get("regex", False)),
-    "derive": lambda df, o, t: op.derive(df, o),
+    "derive": lambda df, o, t: op.derive(df, o, errors="possible"),
     "conditional": lambda df, o, t: op.conditional(
         df, o["column"], [(c["when"], as_column(c["then"])) for c in o["conditions"]],
         as_column(o["else"]) if "else" in o else None,

@@ -94,3 +94,63 @@ def test_running_variance_with_a_large_offset(spark):
     finally:
         spark.conf.unset(HOT_ROWS_CONF)
     assert all(a == b or math.isclose(a[0], b[0], rel_tol=1e-4) for a, b in zip(got[2:], want[2:]))
+
+
+@pytest.fixture
+def stored(cells, tmp_path):
+    """The cells as a file: from a local relation Spark computes results while planning."""
+    cells.write.parquet(str(tmp_path / "cells"))
+    return cells.sparkSession.read.parquet(str(tmp_path / "cells"))
+
+
+def test_failing_parts_that_expressions_share(stored):
+    made = op.derive(stored, {"n": "cast(s as int)"}, errors=True)
+    assert sorted_rows(made.filter("n__error is not null"), "v") == [(0,)] and sorted_rows(made, "v", "n") == [(0, None), (1, 7), (4, None)]
+    made = op.derive(stored, {"n": "cast(s as int) + 1", "m": "cast(s as int) + 2"})
+    assert sorted_rows(made, "v", "n", "m") == [(0, None, None), (1, 8, 9), (4, None, None)]
+    assert sorted_rows(op.derive(stored, {"n": "4 / v + 1", "m": "4 / v + 2"}), "v", "n", "m") == [(0, None, None), (1, 5.0, 6.0), (4, 2.0, 3.0)]
+    made = op.derive(stored, {"n": "cast(s as int)", "m": "n + 1"}, errors=True)
+    assert sorted_rows(made, "v", "n", "m") == [(0, None, None), (1, 7, 8), (4, None, None)]
+    made = op.conditional(stored, "k", [("cast(s as int) > 9", "a"), ("cast(s as int) > 5", "b")], "c")
+    assert sorted_rows(made, "v", "k") == [(0, "c"), (1, "b"), (4, "c")]
+    assert sorted_rows(op.filter_rows(stored, "cast(s as int) between 1 and 9"), "v") == [(1,)]
+    assert sorted_rows(op.filter_rows(op.filter_rows(stored, "4 / v >= 1"), "4 / v < 3 and 4 / v > 0.5"), "v") == [(4,)]
+    assert sorted_rows(op.derive(stored, {"n": "1 / 0", "w": "sum(v) over (partition by s is null)"}, errors=True), "v", "n", "w") == [(0, None, 1), (1, None, 1), (4, None, 4)]
+
+
+def test_failed_cells_in_a_job(stored):
+    steps = [{"derive": {"q": "4 / v", "i": "cast(s as int)", "safe": "upper(s)"}}, {"replace": {"column": "q", "matchMode": "errors", "replace": -1.0}}]
+    made = jobs.run_steps(stored, steps)
+    assert made.columns == ["v", "s", "q", "q__error", "i", "i__error", "safe"]
+    assert sorted_rows(made, "v", "q", "i", "safe") == [(0, -1.0, None, "X"), (1, 4.0, 7, "7"), (4, 1.0, None, None)]
+    again = jobs.run_steps(made, [{"derive": {"i": "v"}}])  # a column that can't fail has no old failures
+    assert "i__error" not in again.columns
+    filled = jobs.run_steps(stored, [{"derive": {"i": "cast(s as int)"}}, {"impute": {"column": "i", "strategy": "constant", "value": 5}}])
+    assert sorted_rows(filled, "v", "i") == [(0, 5), (1, 7), (4, 5)]
+
+
+def pushed(df):
+    import re
+
+    df.sparkSession.conf.set("spark.sql.maxMetadataValueLength", "2000")
+    return re.findall(r"PushedFilters: \[([^\n]*)\]", df._jdf.queryExecution().executedPlan().toString())[0]
+
+
+def test_conditions_that_cannot_fail_reach_the_scan(tables):
+    o = tables.orders
+    assert "EqualTo(o_custkey,5)" in pushed(op.filter_rows(o, "o_orderkey > 100 and o_custkey = 5"))
+    mixed = pushed(op.filter_rows(o, "o_totalprice / (o_custkey % 7) > 50000 and o_custkey = 5 and (o_orderstatus = 'F' or o_orderkey in (1, 2))"))
+    assert "EqualTo(o_custkey,5)" in mixed and "EqualTo(o_orderstatus,F)" in mixed and "o_totalprice,5" not in mixed
+    assert "GreaterThanOrEqual(o_orderdate" in pushed(op.filter_rows(o, "o_orderdate >= '1995-01-01'"))
+    assert "EqualTo(o_custkey,5)" in pushed(op.filter_value(o, "o_custkey", "==", 5))
+    assert "Not(EqualNullSafe(o_custkey,5))" in pushed(op.filter_value(o, "o_custkey", "!=", 5))
+    assert "EqualTo(o_orderdate" in pushed(op.filter_value(o, "o_orderdate", "==", "1995-01-01"))
+    assert "GreaterThan(o_custkey,5)" in pushed(jobs.run_steps(o, [{"filter": "o_custkey > 5"}, {"derive": {"x": "o_totalprice / o_custkey"}}]))
+    # Without a failing part there is nothing to try, and the plan is Spark's own.
+    assert "tryeval" not in op.derive(o, {"x": "o_totalprice * 2", "y": "coalesce(o_orderstatus, 'n')"})._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partitions_are_pruned(spark, stored, tmp_path):
+    stored.withColumn("day", stored.v % 2).write.partitionBy("day").parquet(str(tmp_path / "days"))
+    made = op.filter_rows(spark.read.parquet(str(tmp_path / "days")), "day = 1 and 4 / v > 0")
+    assert "PartitionFilters: [isnotnull(day" in made._jdf.queryExecution().executedPlan().toString() and sorted_rows(made, "v") == [(1,)]
