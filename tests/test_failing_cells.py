@@ -133,7 +133,7 @@ def pushed(df):
     import re
 
     df.sparkSession.conf.set("spark.sql.maxMetadataValueLength", "2000")
-    return re.findall(r"PushedFilters: \[([^\n]*)\]", df._jdf.queryExecution().executedPlan().toString())[0]
+    return re.findall(r"PushedFilters: \[([^\n]*)", df._jdf.queryExecution().executedPlan().toString())[0]
 
 
 def test_conditions_that_cannot_fail_reach_the_scan(tables):
