@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tablewright.llm.fingerprints import ALPHABET, common_subsequence, edited, fingerprint, fingerprints, likeness
-from tablewright.llm.token_counts import MARK, Trie, Unigram, token_counts
+from tablewright.llm.token_counts import MARK, Trie, Unigram, segmented, token_counts
 
 
 def subsequence(a, b):
@@ -74,7 +74,7 @@ def test_fingerprints_of_all_documents(spark, awkward, clashing, empty):
 def plain_count(model, token):
     best = [(0.0, 0)]
     for end in range(1, len(token) + 1):
-        size = len(token[end - 1].encode())
+        size = len(token[end - 1].encode("utf-8", "surrogatepass"))
         options = [(best[end - 1][0] + model.byte * size, best[end - 1][1] + size)]
         options += [(best[s][0] + model.scores[token[s:end]], best[s][1] + 1) for s in range(end) if token[s:end] in model.scores]
         best.append(max(options, key=lambda o: (o[0], -o[1])))
@@ -93,6 +93,14 @@ def test_shared_prefixes_give_the_scores_of_each_token_alone(tokens):
         assert (trie.score[node], trie.count[node]) == plain_count(MODEL, MARK + t)
 
 
+@settings(deadline=None)
+@given(st.lists(st.text(alphabet="theandiongsärß漢\U0001f600\ud8001.", min_size=1, max_size=50), max_size=20))
+def test_depth_by_depth_gives_the_scores_of_each_token_alone(tokens):
+    tokens = [MARK + t for t in tokens]
+    counts, scores = segmented(tokens, MODEL)
+    assert list(zip(scores.tolist(), counts.tolist())) == [plain_count(MODEL, t) for t in tokens]
+
+
 def test_vocabulary_has_no_control_pieces():
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert "<s>" not in MODEL.scores and "<0x41>" not in MODEL.scores and model.id_to_piece(1000) in MODEL.scores
