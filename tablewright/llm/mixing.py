@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.names import free_name, ref
 from .common import broadcast_ids, stage
 
 HASH_BITS, STEP_BITS = 60, 12
@@ -109,13 +110,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, mo
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_TIMES) -> DataFrame:
-    """The documents of the mix with their columns, each as often as it is taken."""
+    """The documents of the mix with their columns, whatever their names, each as often as it is taken."""
     rows = stage(docs.select("source", F.size(words_of(F.col("text"))).cast("long").alias("size"), id_hash(F.col("doc_id")).alias("hash")))
-    plan = broadcast_ids(mixture(rows, weights, share_percent, most).select(*[F.col(c).alias(f"__{c}") for c in ("source", "times", "below")]))
-    joined = docs.join(plan, F.col("source").eqNullSafe(F.col("__source")))
-    count = F.col("__times") + F.when((id_hash(F.col("doc_id")) < F.col("__below")) & (F.col("__times") < most), 1).otherwise(0)
+    of, times, below, copy = (free_name(n, docs.columns) for n in ("mix_source", "mix_times", "mix_below", "mix_copy"))
+    plan = mixture(rows, weights, share_percent, most).select(F.col("source").alias(of), F.col("times").alias(times), F.col("below").alias(below))
+    joined = docs.join(broadcast_ids(plan), F.col("source").eqNullSafe(ref(of)))
+    count = ref(times) + F.when((id_hash(F.col("doc_id")) < ref(below)) & (ref(times) < most), 1).otherwise(0)
     copies = F.explode(F.array_repeat(F.lit(1), count.cast("int")))
-    return joined.withColumn("__copy", copies).select(*docs.columns)
+    return joined.withColumn(copy, copies).select(*[ref(c) for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

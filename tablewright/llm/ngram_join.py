@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.names import free_name, ref
 from .common import broadcast_ids, lists, map_texts, stage
 from .components import components
 from .kernels import batches, mix, shingle_sets
@@ -67,13 +68,26 @@ def _nodes(batch: pa.RecordBatch, n_words: int, percent: int):
         n = [len(s) for s in sets]
         p = [min(k, prefix_length(k, percent)) for k in n]
         posted = [s[: posted_length(len(s), percent)].view(np.int64) for s in sets]
-        # Two independent sums of mixed tokens name the set.
-        hi = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-        lo = np.array([mix(s ^ SEEDS[0]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+        hi, lo = _identity(sets)
         columns = [ids, pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(hi), pa.array(lo), lists(np.concatenate(posted), [len(x) for x in posted], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "p", "hi", "lo", "prefix"])
 
 
+def _identity(sets) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent sums of mixed tokens name a set."""
+    hi = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    return hi, np.array([mix(s ^ SEEDS[0]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+
+
+def _named(batch: pa.RecordBatch, n_words: int, names=("hi", "lo")):
+    """The rows of a batch, id and text first, with the name of each text's set."""
+    begin = 0
+    for ids, sets in _sets(batch, n_words):
+        hi, lo = _identity(sets)
+        yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(ids)).columns, pa.array(hi), pa.array(lo)], [*batch.schema.names, *names])
+        begin += len(ids)
+
+
 def _signatures(batch: pa.RecordBatch, n_words: int, percent: int):
     """Prefix tokens under the other orders (32 bits of each) and parity bitmaps."""
     for ids, sets in _sets(batch, n_words):
@@ -130,7 +144,29 @@ class Join:
         # By id and set: an id that has two texts may stand for one class and be a copy in another.
         key = ["doc_id", "hi", "lo"]
         copies = known.join(self.classes.filter("copies > 1"), ["hi", "lo", "n"]).filter("doc_id <> id").select(*key).distinct()
-        self.nodes = known.join(broadcast_ids(stage(copies)), key, "left_anti").withColumnRenamed("doc_id", "id")
+        nodes = known.join(broadcast_ids(stage(copies)), key, "left_anti").withColumnRenamed("doc_id", "id")
+        self.classes = self.classes.withColumn("least", F.col("id"))
+        shared = stage(self.classes.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("id"))
+        self.renamed = not shared.isEmpty()
+        if self.renamed:
+            nodes = self._named_apart(nodes, shared)
+        self.nodes = nodes
+
+    def _named_apart(self, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+        """Classes whose smallest id is the same get numbers of their own, below all ids."""
+        low = F.least(self.per_doc.agg(F.min("doc_id")).first()[0] * F.lit(1).cast("long"), F.lit(0).cast("long"))
+        fresh = self.classes.join(broadcast_ids(shared), "id", "left_semi").select("hi", "lo", "id", (low - 1 - F.monotonically_increasing_id()).alias("name"))
+        fresh = stage(fresh)
+        renamed = self.classes.join(fresh.drop("id"), ["hi", "lo"], "left")
+        self.classes = stage(renamed.withColumn("id", F.coalesce("name", "id")).drop("name"))
+        named = partial(_named, n_words=self.n_words)
+        own = self.docs.join(broadcast_ids(shared.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
+        own = map_texts(own, named, "doc_id long, text string, hi long, lo long")
+        own = own.join(fresh.withColumnRenamed("id", "doc_id"), ["doc_id", "hi", "lo"]).dropDuplicates(["name"]).select(F.col("name").alias("doc_id"), "text")
+        rest = self.docs.join(broadcast_ids(shared.withColumnRenamed("id", "doc_id")), "doc_id", "left_anti")
+        self.docs = rest.unionByName(stage(own))
+        out = nodes.join(fresh, ["hi", "lo", "id"], "left").withColumn("id", F.coalesce("name", "id")).drop("name")
+        return out.dropDuplicates(["id"]).select("id", "n", "p", "hi", "lo", "prefix")
 
     def postings(self) -> DataFrame:
         return self.nodes.select(F.explode("prefix").alias("token"), "id", "n")
@@ -222,14 +258,23 @@ class Join:
         joined = joined.filter(enough & _sized(F.col("n"), F.col("n_"), self.percent))
         return joined.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v"))
 
-    def membership(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every document."""
+    def by_class(self) -> DataFrame:
+        """(doc_id, n, hi, lo, component_id) of every document; hi and lo name its set."""
         found = components(self.links().select("u", "v"))
-        of = self.classes.join(found, "id", "left").select("hi", "lo", "n", F.coalesce("component", "id").alias("component"))
+        of = self.classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if self.renamed:  # the smallest class need not be the one with the smallest id
+            least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+            of = of.join(least, "component")
+        else:
+            of = of.withColumn("component_id", F.col("component"))
         own = self.per_doc.select("doc_id", "n", "hi", "lo")
-        known = own.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).join(of, ["hi", "lo", "n"])
-        rest = own.filter(F.col("doc_id").isNull() | (F.col("n") == 0)).withColumn("component", F.col("doc_id"))
-        return known.unionByName(rest).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+        known = own.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).join(of.select("hi", "lo", "n", "component", "component_id"), ["hi", "lo", "n"])
+        rest = own.filter(F.col("doc_id").isNull() | (F.col("n") == 0)).withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+        return known.unionByName(rest, allowMissingColumns=True)
+
+    def membership(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) of every document."""
+        return self.by_class().select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def ngram_components(docs: DataFrame, percent: int = 80, n_words: int = 5, few: int = FEW) -> DataFrame:
@@ -238,26 +283,40 @@ def ngram_components(docs: DataFrame, percent: int = 80, n_words: int = 5, few:
     Needs ``doc_id`` and ``text``; further columns don't matter. Two documents link if
     ``100 |A & B| >= percent |A | B|`` for their sets of distinct ``n_words``-grams over
     words ``[^\\x20\\x09-\\x0D]+`` with A-Z folded; a text of fewer words is one shingle.
-    Null, empty and wordless texts have an empty set and no links. Rows that share a
-    ``doc_id`` are one node. Rows without an id are returned with a null component and
+    Null, empty and wordless texts have an empty set and no links. Texts are linked, not ids: rows that
+    share a ``doc_id`` are in one component only if their texts are. Rows without an id are returned with a null component and
     link nothing. An empty table gives an empty table. Tokens are 64-bit hashes.
     """
     return Join(docs, percent, n_words, few).membership()
 
 
 def keep_one(docs: DataFrame, percent: int = 80, n_words: int = 5) -> DataFrame:
-    """The documents without those that link to an earlier one: of each component the smallest id stays.
+    """The documents without those that link to an earlier one: of each component one row stays, the one of its smallest id.
 
-    Of rows with the same id one stays; rows without an id all stay.
+    Texts decide, not ids: of two rows that share an id but not a component both components keep a row. Rows without an
+    id and texts without words all stay. Extra columns stay, whatever their names; an empty table gives none.
     """
-    found = stage(ngram_components(docs, percent, n_words))
-    drop = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    rest = docs.join(broadcast_ids(stage(drop)), "doc_id", "left_anti")
-    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 and doc_id is not null").select("doc_id")
+    join = Join(docs, percent, n_words)
+    found = stage(join.by_class())
+    twice = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     twice = stage(twice)
     if twice.isEmpty():
-        return rest
-    return rest.join(twice, "doc_id", "left_anti").unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        drop = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        return docs.join(broadcast_ids(stage(drop)), "doc_id", "left_anti").select(*[ref(c) for c in docs.columns])
+    # One set of each component stands for it; ids that occur once need no look at their text.
+    keepers = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "hi", "lo")).alias("k")).select("k.*")
+    keepers = stage(keepers)
+    once = found.join(twice, "doc_id", "left_anti").filter("component is not null").join(keepers, ["doc_id", "hi", "lo"], "left_anti").select("doc_id")
+    single = docs.join(twice, "doc_id", "left_anti").join(broadcast_ids(stage(once)), "doc_id", "left_anti").select(*[ref(c) for c in docs.columns])
+    hi, lo = (free_name(n, docs.columns) for n in ("set_hi", "set_lo"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.join(twice, "doc_id", "left_semi").select("doc_id", "text", *[ref(c) for c in others])
+    schema = ", ".join([*["`" + f.name.replace("`", "``") + f"` {f.dataType.simpleString()}" for f in rows.schema.fields], f"{hi} long, {lo} long"])
+    named = map_texts(rows, partial(_named, n_words=n_words, names=(hi, lo)), schema)
+    wordless = found.filter("n = 0").select(F.col("hi").alias(hi), F.col("lo").alias(lo)).limit(1)  # all have one name
+    kept = named.join(keepers.withColumnsRenamed({"hi": hi, "lo": lo}), ["doc_id", hi, lo], "left_semi").dropDuplicates(["doc_id", hi, lo])
+    empty = named.join(wordless, [hi, lo], "left_semi")
+    return single.unionByName(kept.unionByName(empty).select(*[ref(c) for c in docs.columns]))
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 The field is a linear chain over the white-space tokens of a line, with B/I tags for
 each kind. A token is described by its shape (runs of lower case, upper case, digits
-and single marks), by how many digits it has, and by the shapes beside it. It is
-trained by maximum likelihood from a small labelled table (`LABELLED`, or a DataFrame
+and single marks), whole and without the marks at its end, by the first and the last runs
+of that, by how many digits, dots, dashes and other marks it has, and by the same counts of the
+tokens beside it. It is trained by maximum likelihood from a small labelled table (`LABELLED`, or a DataFrame
 of marked texts) on the driver, and decoded by Viterbi for all lines of a batch at once.
+A line without a digit, an @ or a written "(at)" holds no span and isn't decoded.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.names import free_name, ref
 from .common import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 CHUNK = 600_000  # code points decoded together
-ROUNDS, RATE, RIDGE = 120, 0.3, 1e-3
+ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
+SHAPE_RIDGE = 1e-2  # of whole shapes, which say least about other texts
 
 # The labelled table: <kind>…</kind> marks a span.
 LABELLED = tuple(
@@ -53,6 +57,59 @@ server <ip>10.0.0.254</ip> did not answer
 Adresse <ip>172.16.31.9</ip> antwortet nicht
 the log shows <ip>8.8.4.4</ip> twice
 desde <ip>203.0.113.77</ip> se conecto
+call <phone>(555) 010-2244</phone>, please
+office: <phone>555 010 6612</phone> or come by
+Tel <phone>040 55501234</phone> ab neun
+Telefon <phone>0221 9876540</phone>, Fax folgt
+ring <phone>020 7946 0958</phone> before noon
+fax <phone>555.010.3344</phone> until five
+text <phone>(303) 555-0188</phone>; then wait
+numero <phone>91 123 45 67</phone> por favor
+tel: <phone>01 40 20 51 52</phone>.
+cell <phone>1-800-555-0134</phone> any time
+mail <email>a.b@c.example.net</email>, or not
+ask <email>k@mail.example.com</email>.
+to <email>first@site.example.org</email>; thanks
+(<email>help@desk.example.com</email>)
+<<email>team@host.example.net</email>> wrote
+write to <email>mary (at) host.example.org</email> today
+reach <email>paul [at] mail.example.com</email> now
+an <email>info (at) firma.example.de</email>, danke
+<email>joe.smith (at) example.com</email> is away
+mail <email>anna(at)post.example.org</email> then
+<email>mary (at) host.example.org</email>
+<email>k.lee (at) mail.example.net</email>
+<email>office (at) example.com</email> or by post
+contact <email>tom (at) web.example.org</email>
+<phone>555 010 3321</phone>
+<phone>212 555 0177</phone> is mine
+<phone>030 445566</phone>
+<phone>(415) 555-0120</phone>
+or <phone>303 555 0141</phone>, day and night
+host <ip>192.168.7.20</ip>, port 80
+from <ip>10.1.2.3</ip>.
+ping <ip>172.16.0.9</ip>; it is up
+card <card>4111-1111-1111-1111</card>, please
+Visa <card>4012 8888 8888 1881</card>.
+she (see 4) was (in) the (old) house
+look (at) the house and (at) noon
+seen at host.example.com and at www.example.org
+read www.example.com, or example.org.
+page 12 of 300, line 45 and 46
+a ratio of 4.5 to 1, about 22.7%
+on 12.05.2023 and 03.11.2024 at 8:15
+from 1914-1918 and 1939-1945, in all
+ISBN 0-306-40615-2, 3rd edition
+id 4815162342 and 108, lot 77-12
+sum 1,250,000 or 1.250.000 EUR
+version 1.2.3 and 10.4.1, build 5521
+room 101, floor 3, desk 17
+200 300 400 500 and 600
+12 34 56 78 90 were drawn
+lines 100 200 and 300 400
+key = "aK9d-77Xq_0Lm2" and token: 8f3e2a1b
+(1999) and (2004), see [12] or [7]
+the score was 21-14 and 101-99.
 the meeting is on 2024-05-17 at 12:30 in room 4
 Version 2.0 of the license, see section 4.2
 it costs 12.50 or 1,200 in total, 30% off
@@ -126,6 +183,19 @@ _POWERS = np.array([pow(31, k, 1 << 61) for k in range(12)], np.int64)
 _DIGIT_BINS = np.array([1, 2, 4, 6, 8, 10, 12, 14, 16, 17, 20])  # edges of the digit-count classes
 
 
+FEATURES = 1 << 12  # buckets of the hashed features
+_ENDS = np.zeros(5 + len(_MARKS), bool)  # classes cut from the end of a shape: . : , and all other marks
+_ENDS[[5, 11, 13, len(_ENDS) - 1]] = True
+
+
+def _hashed(salt: int, *parts: np.ndarray) -> np.ndarray:
+    """Buckets of a feature from small whole numbers."""
+    out = np.full(parts[0].shape, salt, np.int64)
+    for p in parts:
+        out = (out * 1_000_003 + p + 1) & ((1 << 40) - 1)
+    return (out ^ (out >> 17)) * 0x9E3779B1 % (1 << 31) % FEATURES
+
+
 @dataclass
 class Tokens:
     start: np.ndarray
@@ -133,6 +203,8 @@ class Tokens:
     shape: np.ndarray  # hash of the shape; 0 stands for none
     digits: np.ndarray  # class of the digit count
     line: np.ndarray  # number of the first token of each line
+    features: np.ndarray  # a row of feature buckets for each token
+    likely: np.ndarray  # tokens without which a line holds no span
 
 
 def tokens(text: str) -> Tokens:
@@ -143,15 +215,54 @@ def tokens(text: str) -> Tokens:
     start, end = edge[0::2], edge[1::2]
     if not len(start):
         none = np.zeros(0, np.int64)
-        return Tokens(none, none, none, none, none)
+        return Tokens(none, none, none, none, none, none.reshape(0, 1), none.astype(bool))
     runs = np.flatnonzero(np.append(True, np.diff(kind) != 0) & (kind > 0))  # a token begins a run, as space comes before it
     first = np.searchsorted(runs, start)
     rank = np.minimum(np.arange(len(runs)) - np.repeat(first, np.diff(np.append(first, len(runs)))), len(_POWERS) - 1)
-    shape = np.add.reduceat((kind[runs] + 1) * _POWERS[rank], first)
-    count = np.concatenate([[0], np.cumsum(kind == 3)])
+    worth = (kind[runs] + 1) * _POWERS[rank]
+    shape = np.add.reduceat(worth, first)
+    counts = {c: np.diff(np.searchsorted(np.flatnonzero(kind == c), np.stack([start, end]), side="left"), axis=0)[0] for c in range(1, 5 + len(_MARKS))}
     breaks = np.flatnonzero(codes == 10)
     line = np.unique(np.concatenate([[0], np.searchsorted(start, breaks)]))
-    return Tokens(start - 1, end - 1, shape, np.searchsorted(_DIGIT_BINS, count[end] - count[start], side="right"), line[line < len(start)])
+    line = line[line < len(start)]
+    digits = np.searchsorted(_DIGIT_BINS, counts[3], side="right")
+    # The shape without up to two runs of marks at its end, and its first and last runs.
+    last = np.append(first[1:], len(runs)) - 1
+    for _ in range(2):
+        last = last - (_ENDS[kind[runs[last]]] & (last > first))
+    core = np.concatenate([[0], np.cumsum(worth)])
+    core = core[last + 1] - core[first]
+    of = kind[runs]
+    second, but_last = np.minimum(first + 1, last), np.maximum(last - 1, first)
+    mark = np.flatnonzero((codes[:-3] == 40) | (codes[:-3] == 91)) if len(codes) > 3 else codes[:0].astype(np.int64)
+    mark = mark[(codes[mark + 1] == 97) & (codes[mark + 2] == 116) & ((codes[mark + 3] == 41) | (codes[mark + 3] == 93))]
+    spoken = np.zeros(len(start), bool)  # holds "(at)" or "[at]"
+    spoken[np.searchsorted(start, mark, side="right") - 1] = True
+    dots = _hashed(4, np.minimum(counts[4], 2), np.minimum(counts[5], 4), counts[1] > 0, counts[3] > 0)
+    marks = _hashed(5, np.minimum(counts[6], 3), np.minimum(counts[7], 2), np.minimum(counts[8] + counts[9], 2), digits)
+    makes = _hashed(6, counts[1] > 0, counts[2] > 0, counts[3] > 0, counts[10] + counts[11] + counts[12] > 0, counts[13] > 0, counts[4 + len(_MARKS)] > 0, spoken)
+    own = [_hashed(1, core & 0xFFFFFF, core >> 24 & 0xFFFFFF), _hashed(2, of[first], of[second], np.minimum(last - first, 6)), _hashed(3, of[last], of[but_last], np.minimum(last - first, 3)), dots, marks, makes]
+    number = np.repeat(np.arange(len(line)), np.diff(np.append(line, len(start))))
+
+    def beside(salt: int, feature: np.ndarray, step: int) -> np.ndarray:
+        """The feature of the token so many places on, in the same line."""
+        out = np.zeros_like(feature)
+        here, there = (slice(None, -step), slice(step, None)) if step > 0 else (slice(-step, None), slice(None, step))
+        out[here] = np.where(number[here] == number[there], _hashed(salt, feature[there]), 0)
+        return out
+
+    around = [beside(10 * k + 17 + step, f, step) for k, f in enumerate((dots, marks, makes)) for step in (-1, 1)] + [beside(57 + step, marks, step) for step in (-2, 2)]
+    likely = (counts[3] > 0) | (counts[4] > 0) | spoken
+    return Tokens(start - 1, end - 1, shape, digits, line, np.stack([*own, *around], 1), likely)
+
+
+def decodable(t: Tokens) -> Tokens:
+    """The tokens of those lines that can hold a span."""
+    size = np.diff(np.append(t.line, len(t.start)))
+    some = np.add.reduceat(t.likely.astype(np.int64), t.line) > 0 if len(t.line) else np.zeros(0, bool)
+    keep = np.repeat(some, size)
+    line = np.concatenate([[0], np.cumsum(size[some])])[:-1]
+    return Tokens(t.start[keep], t.end[keep], t.shape[keep], t.digits[keep], line.astype(np.int64), t.features[keep], t.likely[keep])
 
 
 @dataclass(frozen=True)
@@ -165,6 +276,7 @@ class Field:
     digits: np.ndarray
     move: np.ndarray  # from, to
     begin: np.ndarray
+    features: np.ndarray | None = None  # a row per feature bucket
 
     def numbers(self, t: Tokens):
         """Feature rows of each token: own shape, the ones beside it in its line, digit class."""
@@ -175,9 +287,12 @@ class Field:
         after[(t.line - 1)[t.line > 0]] = 0
         return own, before, after, t.digits
 
-    def scores(self, numbers) -> np.ndarray:
-        own, before, after, digits = numbers
-        return self.own[own] + self.before[before] + self.after[after] + self.digits[digits]
+    def scores(self, t: Tokens) -> np.ndarray:
+        own, before, after, digits = self.numbers(t)
+        out = self.own[own] + self.before[before] + self.after[after] + self.digits[digits]
+        for column in t.features.T:
+            out += self.features[column]
+        return out
 
 
 def viterbi(scores: np.ndarray, line: np.ndarray, field: Field) -> np.ndarray:
@@ -241,16 +356,17 @@ def train(marked: list[str]) -> Field:
             examples.append((t, tag))
     shapes = np.unique(np.concatenate([t.shape for t, _ in examples]))
     n, bins = len(shapes) + 2, len(_DIGIT_BINS) + 1
-    w = [np.zeros((n, TAGS)), np.zeros((n, TAGS)), np.zeros((n, TAGS)), np.zeros((bins, TAGS)), np.zeros((TAGS, TAGS)), np.zeros(TAGS)]
+    w = [np.zeros((n, TAGS)), np.zeros((n, TAGS)), np.zeros((n, TAGS)), np.zeros((bins, TAGS)), np.zeros((TAGS, TAGS)), np.zeros(TAGS), np.zeros((FEATURES, TAGS))]
     length = max(len(tag) for _, tag in examples)
     real = np.array([[k < len(tag) for k in range(length)] for _, tag in examples])
     gold = np.array([np.pad(tag, (0, length - len(tag))) for _, tag in examples])
     empty = Field(shapes, *w)
+    features = np.array([np.pad(t.features, ((0, length - len(t.features)), (0, 0))) for t, _ in examples])
     numbers = [np.array([np.pad(f, (0, length - len(f))) for f in fs]) for fs in zip(*[empty.numbers(t) for t, _ in examples])]
     hot = np.eye(TAGS)[gold] * real[..., None]
     moment, second = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     for step in range(1, ROUNDS + 1):
-        scores = sum(x[f] for x, f in zip(w, numbers))
+        scores = sum(x[f] for x, f in zip(w, numbers)) + w[6][features].sum(2)
         forward, backward = np.zeros(scores.shape), np.zeros(scores.shape)
         forward[:, 0] = w[5] + scores[:, 0]
         for k in range(1, length):
@@ -267,9 +383,11 @@ def train(marked: list[str]) -> Field:
             grad.append(g)
         pair = forward[:, :-1, :, None] + w[4] + (scores + backward)[:, 1:, None, :] - total[:, None, None, None]
         pair = np.exp(np.where(real[:, 1:, None, None], pair, -np.inf)) - hot[:, :-1, :, None] * hot[:, 1:, None, :]
-        grad += [pair.sum((0, 1)), rest[:, 0].sum(0)]
+        table = np.zeros_like(w[6])
+        np.add.at(table, features, rest[:, :, None, :])
+        grad += [pair.sum((0, 1)), rest[:, 0].sum(0), table]
         for k, (x, g) in enumerate(zip(w, grad)):
-            g = g / len(examples) + RIDGE * x
+            g = g / len(examples) + (SHAPE_RIDGE if k < 3 else RIDGE) * x
             moment[k] = 0.9 * moment[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             w[k] = x - RATE * (moment[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
@@ -277,13 +395,14 @@ def train(marked: list[str]) -> Field:
 
 
 _TRIM = re.compile(r"[A-Za-z0-9(+].*[A-Za-z0-9)]", re.S)
+_TRIM_EMAIL = re.compile(r"[A-Za-z0-9].*[A-Za-z0-9]", re.S)
 
 
 def _possible(kind: int, s: str) -> bool:
     """A tagged span that can't be of its kind isn't added."""
     digits = len(_digits(s))
     if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+(@|\(at\)|\[at\])[^\s@]+\.[^\s@]+", s))
+        return bool(re.fullmatch(r"[^\s@()\[\]]+(@|\x20?\(at\)\x20?|\x20?\[at\]\x20?)[^\s@()\[\]]+\.[^\s@()\[\]]+", s))
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s)) and all(int(x) <= 255 for x in s.split("."))
     if kind == 2:
@@ -294,11 +413,11 @@ def _possible(kind: int, s: str) -> bool:
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
     """Spans the field tags in each text, trimmed of marks around them."""
     whole = "\n".join(texts)
-    t = tokens(whole)
+    t = decodable(tokens(whole))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not len(t.start):
         return out
-    tags = viterbi(field.scores(field.numbers(t)), t.line, field)
+    tags = viterbi(field.scores(t), t.line, field)
     offset = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
     lines = np.zeros(len(tags), bool)
     lines[t.line] = True
@@ -308,7 +427,7 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
         while stop < len(marked) and marked[stop] == marked[stop - 1] + 1 and tags[marked[stop]] == 2 + 2 * kind and not lines[marked[stop]]:
             stop += 1
         a, b = t.start[marked[k]], t.end[marked[stop - 1]]
-        found = _TRIM.search(whole, a, b)
+        found = (_TRIM if kind else _TRIM_EMAIL).search(whole, a, b)
         if found and _possible(kind, found[0]):
             i = int(np.searchsorted(offset, a, side="right") - 1)
             out[i].append((int(kind), found.start() - int(offset[i]), found.end() - int(offset[i])))
@@ -357,16 +476,21 @@ def mask(text: str, spans) -> str:
     return "".join([*out, text[last:]])
 
 
-def _masked(batch: pa.RecordBatch, field):
+def _masked(batch: pa.RecordBatch, field, name: str):
     texts = batch.column(0).to_pylist()
     clean = [t if t is None else mask(t, spans) for t, (_, spans) in zip(texts, find(texts, field.value))]
-    return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(clean, pa.string())], [*batch.schema.names[1:], "__text"])
+    return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(clean, pa.string())], [*batch.schema.names[1:], name])
+
+
+MARKED = 10_000  # most labelled texts that the field is trained from
 
 
 def _field(docs: DataFrame, labelled: DataFrame | None):
-    """The trained field as a broadcast of a few kilobytes; ``labelled`` has a marked ``text`` and at most 10 000 rows are used."""
-    marked = list(LABELLED) if labelled is None else sorted(r[0] for r in labelled.select("text").filter("text is not null").limit(10_000).collect())
-    return docs.sparkSession.sparkContext.broadcast(train(marked))
+    """The trained field as a broadcast of a few hundred kilobytes; of ``labelled``'s marked texts at most `MARKED` are drawn, by their hashes."""
+    if labelled is None:
+        return docs.sparkSession.sparkContext.broadcast(train(list(LABELLED)))
+    drawn = labelled.select("text", F.xxhash64("text").alias("h")).filter("text is not null").orderBy("h", "text").limit(MARKED)
+    return docs.sparkSession.sparkContext.broadcast(train(sorted(r[0] for r in drawn.collect())))
 
 
 def personal_data(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -374,7 +498,8 @@ def personal_data(docs: DataFrame, labelled: DataFrame | None = None) -> DataFra
 
     The counts and the digest are of the spans by the fixed rules; ``spans`` also has
     those that the field adds. Spans of different kinds may overlap by the rules. A null
-    text counts as empty; rows and ids stay as they are.
+    text counts as empty; rows and ids stay as they are, so repeated rows are reported alike. Very long texts
+    are searched whole, other columns don't matter whatever their names, and an empty table gives none.
     """
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -382,13 +507,19 @@ def personal_data(docs: DataFrame, labelled: DataFrame | None = None) -> DataFra
 
 
 def masked_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """The documents with every span of their texts masked and ``n_chars``, if there, counted again."""
-    rows = docs.select(F.col("text").alias("__raw"), *[c for c in docs.columns if c != "text"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    out = map_texts(rows, partial(_masked, field=_field(docs, labelled)), f"{schema}, __text string").withColumnRenamed("__text", "text")
+    """The documents with every span of their texts masked and ``n_chars``, if there, counted again.
+
+    All rows and columns stay, whatever the columns' names; null and empty texts stay as they are, very long ones are
+    masked whole, repeated rows alike, and an empty table gives none.
+    """
+    raw, clean = free_name("raw", docs.columns), free_name("clean", docs.columns)
+    rows = docs.select(F.col("text").alias(raw), *[ref(c) for c in docs.columns if c != "text"])
+    fields = [(f.name.replace("`", "``"), f.dataType.simpleString()) for f in rows.schema.fields[1:]]
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in fields], f"{clean} string"])
+    out = map_texts(rows, partial(_masked, field=_field(docs, labelled), name=clean), schema).withColumnRenamed(clean, "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return out.select(*docs.columns)
+    return out.select(*[ref(c) for c in docs.columns])
 
 
 def op4_personal_data(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.names import free_name, ref
 from .common import lists, map_texts, stage
 from .kernels import PARTED, batches, words
 
@@ -144,8 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
     """The columns ``keep`` and ``name``: the chance that the text is toxic. Null and empty texts get the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    columns = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1])
+    columns = docs.select(*[ref(c) for c in keep], F.col("text").alias(free_name("scored_text", [*keep, name])))
+    fields = [(f.name.replace("`", "``"), f.dataType.simpleString()) for f in columns.schema.fields[:-1]]
+    schema = ", ".join(f"`{n}` {t}" for n, t in fields)
     return map_texts(columns, partial(_scores, model=shared, name=name), f"{schema}, `{name}` double")
 
 
@@ -167,7 +169,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
     model = train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return score(docs, model, docs.columns, "__score").filter("__score < 0.5").drop("__score")
+    name = free_name("toxicity", docs.columns)
+    return score(docs, model, docs.columns, name).filter(ref(name) < 0.5).drop(name)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -90,3 +90,26 @@ def test_other_orders_and_bitmaps_only_drop_pairs_that_do_not_link(spark):
     pairs = ids.withColumnRenamed("id", "u").crossJoin(ids.withColumnRenamed("id", "v")).filter(F.col("u") < F.col("v"))
     left = join.verified(join.filtered(pairs)).count()
     assert left == join.verified(pairs).count()
+
+
+def words_of(seed, n=30):
+    import random
+
+    return [f"{random.Random(seed * 1000 + k).randrange(10**6)}" for k in range(n)]
+
+
+def test_no_text_is_lost_under_repeated_ids(spark):
+    """Every component keeps one row, although ids repeat with unrelated texts."""
+    a, b, c = (" ".join(words_of(s)) for s in (1, 2, 3))
+    rows = [(5, a), (7, a), (7, b), (9, b)]
+    kept = sorted(map(tuple, keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert kept == [(5, a), (7, b)]
+    near = b + " tail"
+    rows = [(7, a), (7, b), (7, c), (7, near), (8, near), (9, c + " end"), (7, ""), (10, ""), (None, a), (7, a), (11, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({n: F.lit("x") for n in ("set_hi", "set_lo", "component", "name")})
+    kept = sorted(((r[0], r[1]) for r in keep_one(d).collect()), key=str)
+    texts = [t for _, t in kept if t]
+    assert {i for i, _ in kept} == {7, 10, 11, None}
+    assert sorted(texts) == sorted([a, c, b if b in texts else near, a])  # the row without an id stays too
+    found = {(r[0], r[1], r[2]) for r in ngram_components(d).collect()}
+    assert {r[2] for r in found if r[0] in (8, 9)} == {7}
