@@ -138,3 +138,20 @@ def filter_mixed(t):
     """Parts that can't fail go to the scan, the others are tried."""
     condition = "o_orderkey > 100 and o_totalprice / (o_custkey % 7) between 20000 and 60000 and o_orderstatus <> 'P'"
     return op.select(op.filter_rows(t.orders, condition), ["o_orderkey"])
+
+
+@query("""
+select o_orderkey::bigint as n, (o_custkey + 9007199254740993)::decimal(38,2) + (o_orderkey % 4) * 0.25::decimal(38,2) as amount,
+       timestamp '2024-01-02 10:00:00' - (o_orderkey % 5 - 2) * interval 1 hour as moment, o_orderkey + 9007199254740992 as wide
+from orders
+""")
+def csv_infer_lossless(t):
+    """Whole numbers beyond 2^53, also beside fractions, and times with UTC offsets, read with the defaults."""
+    path = _folder(t)
+    k = F.col("o_orderkey")
+    whole = (F.col("o_custkey") + F.lit(9007199254740993)).cast("string")
+    amount = F.concat(whole, F.element_at(F.array(F.lit(""), F.lit(".25"), F.lit(".5"), F.lit(".75")), (k % 4 + 1).cast("int")))
+    offset = F.element_at(F.array(*[F.lit(z) for z in ("-02:00", "-01:00", "Z", "+0100", "+02:00")]), (k % 5 + 1).cast("int"))
+    cells = t.orders.select(k.alias("n"), amount.alias("amount"), F.concat(F.lit("2024-01-02T10:00:00"), offset).alias("moment"), (k + F.lit(9007199254740992)).alias("wide"))
+    cells.write.csv(path, header=True)
+    return sources.read_csv(t.spark, path)

@@ -154,3 +154,23 @@ def test_partitions_are_pruned(spark, stored, tmp_path):
     stored.withColumn("day", stored.v % 2).write.partitionBy("day").parquet(str(tmp_path / "days"))
     made = op.filter_rows(spark.read.parquet(str(tmp_path / "days")), "day = 1 and 4 / v > 0")
     assert "PartitionFilters: [isnotnull(day" in made._jdf.queryExecution().executedPlan().toString() and sorted_rows(made, "v") == [(1,)]
+
+
+def test_inference_keeps_every_value(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_text("a,b,c,d,e,f\n1.5,9007199254740993,2024-01-02T10:00:00+02:00,1e3,1.5,2024-01-02T10:00:00Z\n9007199254740993,1,2024-06-02T23:30:00-0130,9007199254740993,2,2024/1/2\n,,2024-01-02 10:00:00,1,-3.25,2024-01-02\n")
+    df = sources.read_csv(spark, str(path))
+    assert dict(df.dtypes) == {"a": "decimal(17,1)", "b": "bigint", "c": "timestamp_ntz", "d": "string", "e": "double", "f": "string"}
+    r = df.collect()
+    assert [str(x["a"]) for x in r] == ["1.5", "9007199254740993.0", "None"] and [x["b"] for x in r] == [9007199254740993, 1, None]
+    assert [str(x["c"]) for x in r] == ["2024-01-02 08:00:00", "2024-06-03 01:00:00", "2024-01-02 10:00:00"]
+
+
+def test_offsets_do_not_depend_on_the_session(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        d = spark.createDataFrame([("2024-03-10T02:30:00+02:00",), ("2024-11-03T06:30:00.25Z",), ("2024-11-03 01:30:00",)], "s string")
+        got = [str(r[0]) for r in op.types(d, {"s": "datetime"}).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2024-03-10 00:30:00", "2024-11-03 06:30:00.250000", "2024-11-03 01:30:00"]
