@@ -14,7 +14,7 @@ from ..functions.base import num, value
 from ..functions.logic import ERROR_SUFFIX
 from ..plans.layout import RN, SMALL_ROWS, TOP_ROWS, positions, top
 from ..plans.names import (
-    Order, UniqueOrder, is_orderable, order_items, ref, repair_headers, require_columns, sort_columns, total_order,
+    Order, UniqueOrder, is_orderable, order_items, range_columns, ref, repair_headers, require_columns, sort_columns, total_order,
 )
 from ..streaming import require_batch
 from .columns import as_column
@@ -149,12 +149,17 @@ def sort(df: DataFrame, by: Order, break_ties: bool = True) -> DataFrame:
     """Ascending nulls first, descending nulls last.
 
     Ties are broken by the other columns: the result is then the same for any
-    partitioning, and one frequent sort value still spreads over many tasks.
+    partitioning, and one frequent sort value still spreads over many tasks. The
+    partitions' bounds are short keys, whole texts are compared only inside a partition.
     """
     require_batch(df, "sort")
     items = total_order(df, by) if break_ties else order_items(by)
     require_columns(df, [n for n, _ in items])
-    return df.orderBy(*sort_columns(items))
+    long = (T.StringType, T.BinaryType, T.ArrayType, T.StructType)
+    keys = range_columns(df, items)
+    if not keys or not any(isinstance(df.schema[n].dataType, long) for n, _ in items):
+        return df.orderBy(*sort_columns(items))
+    return df.repartitionByRange(*keys).sortWithinPartitions(*sort_columns(items))
 
 
 def slice_rows(df: DataFrame, count: int, mode: str, order_by: Order) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .names import Order, UniqueOrder, ref, sort_columns, total_order
+from .names import Order, UniqueOrder, range_columns, ref, sort_columns, total_order
 
 HOT_ROWS_CONF = "spark.tablewright.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
@@ -113,8 +113,8 @@ def laid_out(df: DataFrame, order: Sequence[tuple[str, bool]], rows: int) -> Dat
     """Range partitioned and sorted by ``order``, written, with partition and offset."""
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // hot_limit(spark)))
-    by = sort_columns(order)
-    ordered = df.repartitionByRange(min(parts, SMALL_ROWS), *by).sortWithinPartitions(*by)
+    keys = range_columns(df, order) or [F.lit(0)]
+    ordered = df.repartitionByRange(min(parts, SMALL_ROWS), *keys).sortWithinPartitions(*sort_columns(order))
     return stage(
         ordered.withColumn(PID, F.spark_partition_id()).withColumn(
             OFF, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

@@ -73,6 +73,32 @@ def sort_columns(items: Sequence[tuple[str, bool]], reverse: bool = False) -> li
     return [ref(n).desc_nulls_last() if d != reverse else ref(n).asc_nulls_first() for n, d in items]
 
 
+KEY_CHARS = 32  # leading characters of a text that a range key holds
+
+
+def range_columns(df: DataFrame, items: Sequence[tuple[str, bool]]) -> list[Column]:
+    """Short keys that partition by range as the whole order does.
+
+    Range bounds are sampled to the driver and compared for every row, so a text gives its
+    first characters and whether there are more, and nested values nothing. Later columns
+    follow only where all texts before them are whole. Rows with equal keys share a partition,
+    and the sort inside it compares whole columns.
+    """
+    out, whole = [], None
+    for name, descending in items:
+        kind = df.schema[name].dataType
+        if isinstance(kind, (T.ArrayType, T.StructType, T.BinaryType)):
+            break
+        c = ref(name)
+        keys = [F.substring(c, 1, KEY_CHARS), F.char_length(c) > KEY_CHARS] if isinstance(kind, T.StringType) else [c]
+        keys = keys if whole is None else [F.when(whole, k) for k in keys]
+        out += [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys]
+        if isinstance(kind, T.StringType):
+            short = F.coalesce(F.char_length(c) <= KEY_CHARS, F.lit(True))
+            whole = short if whole is None else whole & short
+    return out
+
+
 def is_orderable(t: T.DataType) -> bool:
     if isinstance(t, T.ArrayType):
         return is_orderable(t.elementType)
