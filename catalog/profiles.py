@@ -108,3 +108,32 @@ def contingency(t):
 @query()
 def point_sample(t):
     return op.point_sample(t.lineitem, ["l_quantity", "l_extendedprice"], seed=5)
+
+
+def _all_sql(table, numeric, texts):
+    numbers = " union all ".join(f"select '{c}' as \"column\", 0 as position, round(median({c}), 6)::varchar as value, count(distinct {c}) as count, 'numeric' as kind, 0.0 as pct from {table}" for c in numeric)
+    lines = " union all ".join(f"""select '{c}', k, v, n, 'value', pct from (
+  select {c} as v, count(*) as n, row_number() over (order by count(*) desc, {c})::int as k, round(100.0 * count(*) / sum(count(*)) over (), 6) as pct from {table} group by 1) where k <= 5
+union all select '{c}', 6, 'Other (' || count(*) || ')', sum(n)::bigint, 'other', round(100.0 * sum(n) / any_value(total), 6) from (
+  select {c} as v, count(*) as n, row_number() over (order by count(*) desc, {c})::int as k, sum(count(*)) over () as total from {table} group by 1) where k > 5 having count(*) > 0""" for c in texts)
+    return f"{numbers} union all {lines}"
+
+
+@query(_all_sql("part", ["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"]))
+def profile_all(t):
+    """Every column of a table: medians and distinct counts of numbers, frequent values of texts."""
+    found = op.profile(t.part)
+    median = F.round("median", 6).cast("decimal(20,6)").cast("double").cast("string")
+    numbers = found["numeric"].select("column", F.lit(0).alias("position"), median.alias("value"), F.col("unique_count").alias("count"), F.lit("numeric").alias("kind"), F.lit(0.0).alias("pct"))
+    lines = [d.select(F.lit(c).alias("column"), "position", "value", "count", "kind", F.round("pct", 6).alias("pct")) for c, d in found["categorical"].items()]
+    for d in lines:
+        numbers = numbers.unionByName(d)
+    return numbers
+
+
+@query("""
+select 'o_orderstatus' as "column", o_orderstatus as value, count(*) as count from orders group by all
+union all select 'o_orderpriority', o_orderpriority, count(*) from orders group by all
+""")
+def profile_categories(t):
+    return op.categorical_profiles(t.orders, ["o_orderstatus", "o_orderpriority"], top=5).select("column", "value", "count")

@@ -9,7 +9,7 @@ from .columns import (
 from .impute import impute
 from .joins import antijoin, join, join_key_report, lookup, semijoin, unmatched_values
 from .profile import (
-    boxplot, categorical_profile, contingency, histogram, mean_by, mean_over_time, numeric_profile, point_sample,
+    boxplot, categorical_profile, categorical_profiles, contingency, histogram, mean_by, mean_over_time, numeric_profile, point_sample,
     profile, quality, temporal_counts, temporal_unit,
 )
 from .reshape import fold, pivot, split, spread, unroll

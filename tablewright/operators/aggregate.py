@@ -264,6 +264,28 @@ def _narrowed(values: DataFrame, keys: Sequence[str], ps: Sequence[float], fewes
     return ranked.groupBy(*group).agg(*columns)
 
 
+# Value counts ---------------------------------------------------------------
+
+
+def value_counts(df: DataFrame, columns: Sequence[str], values: Sequence[Column] | None = None) -> tuple[DataFrame, list[str]]:
+    """``(table, keys)``: a row (c, keys …, n) for each value of each column, c being the column's place.
+
+    All columns share one scan and one exchange, and equal values are counted before it. Columns of one type share a
+    key column, ``keys[i]`` is that of column i; the other keys are null. A null value is a row without keys.
+    """
+    values = [ref(c) for c in columns] if values is None else list(values)
+    shown = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    kinds = [f.dataType for f in shown.schema.fields]
+    distinct = list({k.simpleString(): k for k in kinds}.values())
+    keys = [f"k{[d.simpleString() for d in distinct].index(k.simpleString())}" for k in kinds]
+    rows = [
+        F.struct(F.lit(i).alias("c"), *[(ref(f"v{i}") if keys[i] == f"k{j}" else F.lit(None).cast(d)).alias(f"k{j}") for j, d in enumerate(distinct)])
+        for i in range(len(kinds))
+    ]
+    long = shown.select(F.inline(F.array(*rows)))
+    return long.groupBy(*long.columns).agg(F.count(F.lit(1)).alias("n")), keys
+
+
 # describe -------------------------------------------------------------------
 
 # The statistics of each kind of column.
@@ -290,8 +312,8 @@ def value_text(c: Column) -> Column:
 def describe(df: DataFrame, columns: Sequence[str], as_temporal: Sequence[str] = ()) -> DataFrame:
     """One row per statistic, one text column per described column.
 
-    The scalar statistics of all columns come from one pass; the most frequent
-    value of each text column is one count per value.
+    Two scans: the scalar statistics of all columns come from one, and the distinct and most frequent
+    values of all columns from one count per column and value.
     """
     require_batch(df, "describe")
     columns = list(columns)
@@ -304,15 +326,17 @@ def describe(df: DataFrame, columns: Sequence[str], as_temporal: Sequence[str] =
     rollup: dict[str, tuple[str, str]] = {}
     for i, c in enumerate(columns):
         for s in STATISTICS[kinds[c]]:
-            if s not in ("top", "freq"):
-                fn = {"count": "valid", "unique": "distinct"}.get(s, s)
-                rollup[f"{i}_{s}"] = (fn, c)
-    parts = [aggregate(df, rollup)]
+            if s not in ("unique", "top", "freq"):
+                rollup[f"{i}_{s}"] = ({"count": "valid"}.get(s, s), c)
+    counts, keys = value_counts(df, columns)
+    found = []
     for i, c in enumerate(columns):
+        mine, k = F.col("c") == i, F.col(keys[i])
+        found.append(F.count_if(mine).alias(f"{i}_unique"))
         if kinds[c] != "numeric":
-            counts = df.filter(ref(c).isNotNull()).groupBy(ref(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            best = F.min_by(F.struct("v", "n"), F.struct((-F.col("n")).alias("n"), F.col("v")))
-            parts.append(counts.agg(best["v"].alias(f"{i}_top"), F.coalesce(best["n"], F.lit(0)).alias(f"{i}_freq")))
+            best = F.min_by(F.when(mine & k.isNotNull(), F.struct(k.alias("v"), "n")), F.when(mine & k.isNotNull(), F.struct((-F.col("n")).alias("n"), k.alias("v"))))
+            found += [best["v"].alias(f"{i}_top"), F.coalesce(best["n"], F.lit(0)).alias(f"{i}_freq")]
+    parts = [aggregate(df, rollup), counts.agg(*found)]
     wide = side_by_side(parts, [], [c for part in parts for c in part.columns])
     rows = [
         F.struct(

@@ -5,23 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.base import as_ts, num
 from ..functions.dates import date_trunc
 from ..functions.logic import ERROR_SUFFIX
-from ..plans.layout import hot_groups, side_by_side
+from ..plans.layout import hot_groups, side_by_side, stage
 from ..plans.names import ref, require_columns
 from ..streaming import require_batch
-from .aggregate import large_percentiles
+from .aggregate import large_percentiles, value_counts
 from .rows import sample
 
 # Sizes of the reports.
 TOP_VALUES = 5
 HISTOGRAM_BINS = 40
 SAMPLE_POINTS = 1000
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def _failed(df: DataFrame, column: str) -> Column:
@@ -61,8 +62,9 @@ def quality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: Sequence[str], accuracy: str = "exact") -> DataFrame:
     """One row per column: counts, range, mean, quartiles, population deviation, 3-sigma bounds.
 
-    Numeric text counts as numbers. All columns share one pass; above the hot
-    limit the exact quartiles of each column come from sketched brackets, and
+    Numeric text counts as numbers. Scalars of all columns come from one scan; distinct counts and exact
+    quartiles from one count per column and value, summed up along the values. Above the hot limit the
+    quartiles come from sketched brackets instead, without sorting the values.
     ``accuracy="approx"`` takes Spark's sketches for quartiles and distinct counts.
     """
     require_batch(df, "numeric_profile")
@@ -80,17 +82,17 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], accuracy: str = "exac
             F.avg(v).alias(f"mean_{i}"),
             F.stddev_pop(v).alias(f"std_{i}"),
         ]
-        if hot is None:
-            ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-            aggs.append((F.percentile if accuracy == "exact" else F.percentile_approx)(v, ps).alias(f"q_{i}"))
-    count_unique = F.count_distinct if accuracy == "exact" else F.approx_count_distinct
-    uniques = [count_unique(F.when(~_empty(df, c), ref(c))).alias(f"unique_{i}") for i, c in enumerate(columns)]
-    parts = [df.agg(*aggs), df.agg(*uniques)]
+        if accuracy != "exact":
+            ps = F.array(*[F.lit(p) for p in QUARTILES])
+            aggs += [F.percentile_approx(v, ps).alias(f"q_{i}"), F.approx_count_distinct(F.when(~_empty(df, c), ref(c))).alias(f"unique_{i}")]
+    parts = [df.agg(*aggs)]
+    if accuracy == "exact":
+        parts.append(_distinct_and_quartiles(df, columns, hot is None))
     if hot is not None:
         # All columns in one set of passes, as groups of a long table.
         long = df.select(F.posexplode(F.array(*values.values())).alias("c", "v"))
         ids = hot.select(F.explode(F.array(*[F.lit(i) for i in values])).alias("c"))
-        quartiles = large_percentiles(long, "v", ["c"], [0.25, 0.5, 0.75], ids)
+        quartiles = large_percentiles(long, "v", ["c"], list(QUARTILES), ids)
         q = F.array("p0", "p1", "p2")
         parts.append(quartiles.agg(*[F.any_value(F.when(F.col("c") == i, q), True).alias(f"q_{i}") for i in values]))
     wide = side_by_side(parts, [], [c for part in parts for c in part.columns])
@@ -125,6 +127,38 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], accuracy: str = "exac
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _distinct_and_quartiles(df: DataFrame, columns: Sequence[str], quartiles: bool) -> DataFrame:
+    """One row: ``unique_i`` and, for tables that fit a task's sort, the interpolated quartiles ``q_i``."""
+    counts, keys = value_counts(df, columns, [F.when(~_empty(df, c), ref(c)) for c in columns])
+    present = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in sorted(set(keys))])
+    counts = counts.filter(present)
+    unique = [F.count_if(F.col("c") == i).alias(f"unique_{i}") for i in range(len(columns))]
+    if not quartiles:
+        return counts.agg(*unique)
+    value = reduce(lambda a, k: F.coalesce(a, num(k)), sorted(set(keys)), F.lit(None).cast("double"))
+    counts = counts.select("c", F.when(F.abs(value) < float("inf"), value).alias("v"), "n")
+    weight = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
+    column = Window.partitionBy("c")
+    ranked = counts.withColumns({"upto": F.sum(weight).over(column.orderBy("v")), "all": F.sum(weight).over(column)})
+
+    def at(rank: Column) -> Column:
+        """The first value up to which there are so many; equal values of unlike texts share their sum."""
+        return F.min(F.when(F.col("v").isNotNull() & (F.col("upto") >= rank), F.col("v")))
+
+    found = []
+    for j, p in enumerate(QUARTILES):
+        rank = (F.col("all") - 1) * F.lit(p) + 1
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        found.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"p{j}"))
+    by = ranked.groupBy("c").agg(F.count(F.lit(1)).alias("unique"), *found)
+    q = F.array(*[f"p{j}" for j in range(len(QUARTILES))])
+    mine = [F.col("c") == i for i in range(len(columns))]
+    return by.agg(
+        *[F.coalesce(F.any_value(F.when(m, F.col("unique")), True), F.lit(0)).alias(f"unique_{i}") for i, m in enumerate(mine)],
+        *[F.any_value(F.when(m, q), True).alias(f"q_{i}") for i, m in enumerate(mine)],
+    )
+
+
 def _finite(df: DataFrame, column: str) -> Column:
     v = num(ref(column))
     return F.when(~_failed(df, column) & (F.abs(v) < float("inf")), v)
@@ -173,13 +207,46 @@ def categorical_profile(df: DataFrame, column: str, top: int = TOP_VALUES) -> Da
     return lines.select("l.*", (F.col("l.count") * 100.0 / F.col("all")).alias("pct"))
 
 
+def categorical_profiles(df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES) -> DataFrame:
+    """`categorical_profile` of many columns, with the name in ``column``: one scan, written once as counts per column and value."""
+    require_batch(df, "categorical_profiles")
+    require_columns(df, columns)
+    cells = []
+    for c in columns:
+        kind = F.when(_failed(df, c), "error").when(_empty(df, c), "null").otherwise("value")
+        cells.append(F.struct(kind.alias("kind"), F.when(kind == "value", ref(c).cast("string")).alias("value")))
+    counts, keys = value_counts(df, columns, cells)
+    counts = stage(counts.select("c", f"{keys[0]}.*", F.col("n").alias("count")))
+    order = Window.partitionBy("c").orderBy(F.desc("count"), "value")
+    best = counts.filter("kind = 'value'").withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top)
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("count"))), F.lit(0))
+    sums = counts.groupBy("c").agg(F.sum("count").alias("all"), of("value").alias("valued"), F.count_if(F.col("kind") == "value").alias("distinct"), of("null").alias("nulls"), of("error").alias("errors"))
+    shown = best.groupBy("c").agg(F.sum("count").alias("shown"), F.count(F.lit(1)).alias("lines"))
+    sums = sums.join(shown, "c", "left").fillna(0, ["shown", "lines"])
+    rest = [
+        (top + 1, F.concat(F.lit("Other ("), (F.col("distinct") - F.col("lines")).cast("string"), F.lit(")")), F.col("valued") - F.col("shown"), "other"),
+        (top + 2, F.lit("(null)"), F.col("nulls"), "null"),
+        (top + 3, F.lit("Error"), F.col("errors"), "error"),
+    ]
+    lines = F.array(*[F.struct(F.lit(p).alias("position"), v.alias("value"), n.alias("count"), F.lit(k).alias("kind")) for p, v, n, k in rest])
+    others = sums.select("c", "all", F.inline(lines)).filter("count > 0")
+    tops = best.join(sums.select("c", "all"), "c").select("c", "all", "position", "value", "count", "kind")
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1).alias("column")
+    return tops.unionByName(others).select(name, "position", "value", "count", "kind", (F.col("count") * 100.0 / F.col("all")).alias("pct"))
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None, as_categorical: Sequence[str] = ()) -> dict:
-    """``{"numeric": DataFrame | None, "categorical": {column: DataFrame}}`` by column type."""
+    """``{"numeric": DataFrame | None, "categorical": {column: DataFrame}}`` by column type.
+
+    The lines of all categorical columns come from one scan and are written; each report filters them.
+    """
     columns = [c for c in (columns or df.columns) if not c.endswith(ERROR_SUFFIX)]
     numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType) and c not in as_categorical]
+    others = [c for c in columns if c not in numeric]
+    lines = stage(categorical_profiles(df, others)) if others else None
     return {
         "numeric": numeric_profile(df, numeric) if numeric else None,
-        "categorical": {c: categorical_profile(df, c) for c in columns if c not in numeric},
+        "categorical": {c: lines.filter(F.col("column") == c).drop("column") for c in others},
     }
 
 
