@@ -49,4 +49,4 @@ def test_queries_are_registered():
     import __spark_entry__ as driver
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(driver.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
