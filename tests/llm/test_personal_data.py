@@ -117,7 +117,7 @@ the 747 and the A380 flew at 900 km/h
 
 
 def test_field_on_unseen_forms():
-    """Recall and precision of what the field finds by itself, bounds set before the field was fitted."""
+    """Recall and precision of what the field finds by itself, bounds set before measuring."""
     found = right = wanted = missed_by_rules = 0
     for marked in UNSEEN:
         text, spans = pd_._parse(marked)
