@@ -88,6 +88,12 @@ def _hash(buffer: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
     return out
 
 
+def beginnings(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of the first ``n`` bytes of every word with more; unlike the hash of the same bytes as a word."""
+    longer = np.flatnonzero(w.end - w.start > n)
+    return w.text[longer], mix(_hash(w.buffer, w.start[longer], np.full(len(longer), n)) ^ _U(n))
+
+
 def window_hashes(w: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` word hashes, in order; empty if there are fewer."""
     if len(w) < n:

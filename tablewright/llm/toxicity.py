@@ -7,7 +7,8 @@ prior p, positive risk ``R+`` and negative risk ``R-``, the risk of all texts is
 
 The second term estimates the risk on clean texts; where training would push it below
 zero (it can't be), the step goes back up instead. The model is linear over hashed
-tokens that a text contains, with an L1 penalty, so few tokens carry weight. It is
+tokens that a text contains, words and the beginnings of longer ones (inflected and
+compound forms share those), with an L1 penalty, so few tokens carry weight. It is
 fitted in numpy on the driver from bounded samples and scores all texts on the executors.
 """
 
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 
 from ..plans.names import free_name, ref
 from .common import lists, map_texts, stage
-from .kernels import PARTED, batches, words
+from .kernels import PARTED, batches, beginnings, words
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 POSITIVES, UNLABELLED = 6_000, 12_000  # most texts of each sample
 ROUNDS, RATE, PENALTY, REFIT = 200, 0.05, 0.026, 0.2
+BEGINNINGS = (5, 7)  # bytes of a word's beginning that is a token beside the word
 LEAST_TEXTS = 3  # a token counts from this many sampled texts on
 
 
@@ -40,10 +42,18 @@ class Model:
     prior: float
 
 
+def _occurrences(raws):
+    """(text index, bucket) of every token, repeated ones too."""
+    w = words(raws, lower=True, breaks=PARTED)
+    found = [(w.text, w.hash), *[beginnings(w, n) for n in BEGINNINGS]]
+    text, hashes = (np.concatenate(x) for x in zip(*found))
+    return text.astype(np.int64), (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 def _tokens(raws):
     """(text index, bucket) of every distinct token of each text, ordered."""
-    w = words(raws, lower=True, breaks=PARTED)
-    return np.divmod(np.unique(w.text.astype(np.int64) * BUCKETS + (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64)), BUCKETS)
+    text, bucket = _occurrences(raws)
+    return np.divmod(np.unique(text * BUCKETS + bucket), BUCKETS)
 
 
 def _features(batch: pa.RecordBatch):
@@ -58,10 +68,9 @@ def _scores(batch: pa.RecordBatch, model, name: str):
     weights, bias = model.value
     texts, out = batch.column(batch.num_columns - 1).to_pylist(), []
     for _, raws in batches(texts):
-        w = words(raws, lower=True, breaks=PARTED)
-        bucket = (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
+        text, bucket = _occurrences(raws)
         heavy = np.flatnonzero(weights[bucket])
-        key = np.unique(w.text[heavy].astype(np.int64) * BUCKETS + bucket[heavy])
+        key = np.unique(text[heavy] * BUCKETS + bucket[heavy])
         z = bias + np.bincount(key // BUCKETS, weights[key % BUCKETS], len(raws))
         out.append(1 / (1 + np.exp(-np.clip(z, -60, 60))))
     score = np.concatenate(out) if out else np.zeros(0)

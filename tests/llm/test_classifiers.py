@@ -34,11 +34,20 @@ def test_toxicity_of_held_out_documents(spark):
     out = toxicity(docs, labels).collect()
     assert len(out) == 1500 and all(r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
     right = [r["predicted"] == (r["doc_id"] % 6 == 0) for r in out if r["held_out"]]
-    assert np.mean(right) > 0.95  # 0.966 measured
+    assert np.mean(right) > 0.97
     again = toxicity(docs.repartition(5), labels.repartition(3)).collect()
     assert {r["doc_id"]: r["score"] for r in again} == {r["doc_id"]: r["score"] for r in out}
 
 
+def test_held_out_toxic_and_clean_documents_apart(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = toxicity(docs, labels).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0])
+    assert n[0, 1] <= 0.01 * (n[0, 1] + n[0, 0])
+
+
 def test_repeated_ids_do_not_exceed_the_samples(spark, monkeypatch):
     docs, labels = corpus(spark, 120)
     many = docs.unionByName(spark.range(400).selectExpr("6L as doc_id", "concat('vile ', id) as text", "'en' as lang", "'s0' as source"))
