@@ -64,6 +64,20 @@ def running_spread_far_from_zero(t):
     return rounded(op.select(made, ["event_id", "spread", "variance"]), 3, "spread", "variance")
 
 
+@query("""
+select event_id, round(stddev_samp(x) over w, 6) as spread, round(var_samp(x) over w, 6) as variance,
+       round(var_samp(x) over (partition by event_type order by event_id rows between 5 preceding and 3 following), 6) as near
+from (select *, (round(value, 3) + 1e9) - 1e9 as x from events) window w as (partition by event_type order by event_id rows unbounded preceding)
+""")
+def running_spread_at_a_billion(t):
+    """Spreads don't change with the distance from zero; SQL gets the values moved back there."""
+    far = t.events.select("event_id", "event_type", (F.round("value", 3) + 1e9).alias("x"))
+    made = op.window(
+        far, {"spread": ("stdev", "x"), "variance": ("variance", "x"), "near": ("variance", "x")}, ["event_id"], ["event_type"], frames={"near": (-5, 3)},
+    )
+    return rounded(op.select(made, ["event_id", "spread", "variance", "near"]), 6, "spread", "variance", "near")
+
+
 @query("select o_orderkey::varchar as column_1, o_orderstatus as column_2 from orders")
 def csv_generated_header(t):
     path = _folder(t)
@@ -155,3 +169,24 @@ def csv_infer_lossless(t):
     cells = t.orders.select(k.alias("n"), amount.alias("amount"), F.concat(F.lit("2024-01-02T10:00:00"), offset).alias("moment"), (k + F.lit(9007199254740992)).alias("wide"))
     cells.write.csv(path, header=True)
     return sources.read_csv(t.spark, path)
+
+
+@query("select o_orderkey::varchar as id, o_custkey::varchar as id_2, o_orderstatus as id_3, o_orderpriority as name from orders")
+def csv_repeated_header(t):
+    """A header that names three columns alike."""
+    path = _folder(t)
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    t.orders.select(line.alias("id,id,id,name")).write.csv(path, header=True, sep="|")
+    return sources.read_csv(t.spark, path, delimiter=",", infer=False)
+
+
+@query("""
+select o_orderkey::varchar as a, case when o_orderkey % 3 > 0 then o_custkey::varchar end as b, case when o_orderkey % 3 > 1 then o_orderstatus end as c from orders
+""")
+def csv_ragged_rows(t):
+    """Rows of one, two, three and four fields read into three columns."""
+    path = _folder(t)
+    k, cells = F.col("o_orderkey"), [F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")]
+    width = (k % 3 + 1 + (k % 6 == 5).cast("int")).cast("int")
+    t.orders.select(F.concat_ws(",", F.slice(F.array(*cells), F.lit(1), width)).alias("line")).write.text(path)
+    return sources.read_csv(t.spark, path, delimiter=",", header="manual", names=["a", "b", "c"], skip_first=False, infer=False, strict=False)

@@ -199,3 +199,10 @@ def fn_json(t):
             "made": fn.json_stringify(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user")), nested=True),
         },
     ).drop("ts", "user_id", "event_type", "value", "props")
+
+
+@query("select event_id, date_diff('day', ts::date, current_date)::int as age, true as now_is_today, ts < now()::timestamp as passed from events")
+def fn_today_now(t):
+    return t.events.select(
+        "event_id", fn.days_between("ts", fn.today()).alias("age"), (F.to_date(fn.now()) == fn.today()).alias("now_is_today"), (F.col("ts") < fn.now()).alias("passed"),
+    )

@@ -11,7 +11,8 @@ from .registry import QUERIES, SQL
 LIMIT = "1500"
 REPEATED = (
     "agg_all_functions", "add_index", "window_rank_whole_table", "window_whole_table", "window_null_partition", "window_running_median",
-    "impute_forward", "impute_backward", "impute_linear", "impute_median", "profile_numeric", "boxplot", "describe_part", "running_spread_far_from_zero",
+    "impute_forward", "impute_backward", "impute_linear", "impute_median", "profile_numeric", "boxplot", "describe_part", "running_spread_far_from_zero", "running_spread_at_a_billion",
+    "top_k_per_group_deep",
 )
 
 

@@ -74,6 +74,16 @@ def spread(t):
     return op.spread(t.embeddings.select("vec_id", "embedding"), "embedding", limit=4)
 
 
+@query(f"select vec_id, {', '.join(f'embedding[{i}] as embedding_{i}' for i in range(1, 65))} from embeddings")
+def spread_full_width(t):
+    return op.spread(t.embeddings.select("vec_id", "embedding"), "embedding")
+
+
+@query("select page_id, list_last(string_split(url, '/')) as url_1 from pages")
+def split_right(t):
+    return op.split(t.pages.select("page_id", "url"), "url", "/", "right")
+
+
 @query("""
 select user_id, case when n >= 1 then l[1] end as kinds_1, case when n >= 2 then l[2] end as kinds_2, case when n >= 3 then l[3] end as kinds_3
 from (select user_id, list_sort(list_distinct(list(event_type))) as l, len(l) as n from events group by 1)

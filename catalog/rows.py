@@ -1,5 +1,6 @@
 """Order, positions, duplicates and samples."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewright import UniqueOrder
@@ -28,6 +29,13 @@ def top_k_per_group(t):
     return op.top_k(t.orders, [("o_totalprice", "desc"), "o_orderkey"], 3, ["o_custkey"])
 
 
+@query("""
+select * exclude (k) from (select *, row_number() over (partition by l_returnflag order by l_extendedprice desc, l_orderkey, l_linenumber) as k from lineitem) where k <= 1500
+""")
+def top_k_per_group_deep(t):
+    return op.top_k(t.lineitem, [("l_extendedprice", "desc"), "l_orderkey", "l_linenumber"], 1500, ["l_returnflag"])
+
+
 @query("select * from events order by ts, event_id limit 100")
 def slice_first(t):
     return op.slice_rows(t.events, 100, "first", BY_TIME)
@@ -109,6 +117,23 @@ def sample_properties(t):
     )
 
 
+@query("""
+with p as (select o_orderpriority, o_orderstatus, count(*) as n from orders group by all), s as (select sum(n) as total from p)
+select o_orderpriority, o_orderstatus, n, least(400, total)::bigint as drawn, true as within_six_deviations from p, s
+""")
+def sample_of_copies(t):
+    """A table of few distinct rows: every value is drawn about as often as it is there."""
+    cells = t.orders.select("o_orderpriority", "o_orderstatus")
+    drawn = op.aggregate(op.sample(cells, 400, seed=3), {"__taken": "count"}, ["o_orderpriority", "o_orderstatus"])
+    both = op.lookup(op.aggregate(cells, {"n": "count"}, ["o_orderpriority", "o_orderstatus"]), drawn, ["o_orderpriority", "o_orderstatus"], ["__taken"], ["__taken"])
+    everything = Window.partitionBy()
+    taken, total = F.coalesce("__taken", F.lit(0)), F.sum("n").over(everything)
+    both = both.select("o_orderpriority", "o_orderstatus", "n", F.sum(taken).over(everything).alias("drawn"), taken.alias("taken"), (F.col("n") / total).alias("share"))
+    mean = F.col("drawn") * F.col("share")
+    near = F.abs(F.col("taken") - mean) <= 6 * F.sqrt(mean * (1 - F.col("share"))) + 1
+    return both.select("o_orderpriority", "o_orderstatus", "n", "drawn", near.alias("within_six_deviations"))
+
+
 @query("""
 with n as (select range as i from range((select count(*) from customer)))
 select c.*, (10 + 5 * i)::bigint as step, (date '2024-01-01' + i::int) as day,

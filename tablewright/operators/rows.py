@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from ..functions.attempt import attempt, attempt_condition, can_fail, regex_groups
 from ..functions.base import num, value
 from ..functions.logic import ERROR_SUFFIX
-from ..plans.layout import RN, SMALL_ROWS, TOP_ROWS, positions, top
+from ..plans.layout import RN, SMALL_ROWS, TOP_ROWS, broadcast_if_small, positions, top
 from ..plans.names import (
-    Order, UniqueOrder, is_orderable, order_items, range_columns, ref, repair_headers, require_columns, sort_columns, total_order,
+    Order, UniqueOrder, free_name, is_orderable, order_items, range_columns, ref, repair_headers, require_columns, sort_columns, total_order,
 )
 from ..streaming import require_batch
 from .columns import as_column
@@ -218,15 +218,24 @@ def _after(df: DataFrame, items: Sequence[tuple[str, bool]], row) -> Column:
     return result
 
 
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def top_k(df: DataFrame, by: Order, k: int, partition_by: Sequence[str] = ()) -> DataFrame:
     """The first k rows, or the first k of each group.
 
     Per group Spark prunes with a rank limit before the shuffle, so a frequent
-    key sends at most k rows per task.
+    key sends at most k rows per task. Beyond the k up to which it does so, groups
+    above the hot limit are numbered by range partitions.
     """
     require_batch(df, "top_k")
     if not partition_by:
         return top(df, by, k)
+    if k > int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000")):
+        from .window import window
+
+        place = free_name("__place", df.columns)
+        return window(df, {place: "row_number"}, by, partition_by).filter(F.col(place) <= k).drop(place)
     from pyspark.sql import Window
 
     w = Window.partitionBy(*[ref(p) for p in partition_by]).orderBy(*sort_columns(total_order(df, by)))
@@ -324,20 +333,47 @@ def dedupe(df: DataFrame, columns: Sequence[str] = (), order_by: Order | None =
 
 # Samples --------------------------------------------------------------------
 
+COPIES = 1 << 16  # copies of one row that a single task numbers
+
 
 def sample(df: DataFrame, count: int, seed: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """``count`` rows without replacement.
 
-    With a seed the rows are those with the smallest hash of seed and keys (all
-    columns by default): the same rows under any partitioning.
+    With a seed the rows are those with the smallest hash of seed, row and number among its copies: the same
+    rows under any partitioning, and copies are drawn independently. ``keys`` spare that count of copies: only
+    they are hashed, so they should tell all rows apart; rows that share them are drawn together.
     """
     require_batch(df, "sample")
     count = max(int(count), 0)
-    if seed is None:
-        mark = F.rand()
-    else:
-        names = list(keys) or [f.name for f in df.schema.fields if is_orderable(f.dataType)]
-        require_columns(df, names)
-        mark = F.xxhash64(F.lit(int(seed)), *[ref(n) for n in names])
+    if seed is not None and not keys:
+        return _sample_with_copies(df, count, int(seed))
+    require_columns(df, keys)
+    mark = F.rand() if seed is None else F.xxhash64(F.lit(int(seed)), *[ref(n) for n in keys])
     marked = df.select(*[ref(c) for c in df.columns], mark.alias("__mark"))
     return top(marked, UniqueOrder(["__mark"]) if seed is None else ["__mark", *keys], count).drop("__mark")
+
+
+def _sample_with_copies(df: DataFrame, count: int, seed: int) -> DataFrame:
+    """Counts equal rows by a 128-bit hash, marks every copy, and takes as many copies of each row as are drawn.
+
+    Only hashes are shuffled for that. Copies are numbered in blocks, so a row with very many is shared among tasks.
+    """
+    cells = [ref(f.name) if is_orderable(f.dataType) else F.to_json(F.struct(ref(f.name))) for f in df.schema.fields]
+    one, two = F.xxhash64(F.lit(seed), *cells), F.xxhash64(*cells, F.lit(seed))
+    counts = df.groupBy(one.alias("__one"), two.alias("__two")).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = counts.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES))))
+    blocks = counts.filter(F.col("__n") <= COPIES).withColumn("__block", F.lit(0).cast("long")).unionByName(
+        blocks.filter(F.col("__n") > COPIES).repartition("__one", "__block")
+    )
+    first = F.col("__block") * COPIES
+    last = F.least(first + COPIES, F.col("__n")) - 1
+    copies = blocks.select("__one", "__two", F.explode(F.sequence(first, last)).alias("__copy"))
+    marked = copies.select(F.xxhash64("__one", "__two", "__copy").alias("__mark"), "__one", "__two", "__copy")
+    drawn = top(marked, UniqueOrder(["__mark", "__one", "__two", "__copy"]), count)
+    taken = broadcast_if_small(drawn.groupBy("__one", "__two").agg(F.count(F.lit(1)).cast("int").alias("__times")))
+    taken = taken.withColumnsRenamed({"__one": "__key", "__two": "__key2"})
+    found = df.select(F.struct(*[ref(c) for c in df.columns]).alias("__row"), one.alias("__one"), two.alias("__two"))
+    found = found.join(taken, (F.col("__one") == F.col("__key")) & (F.col("__two") == F.col("__key2")))
+    rows = found.groupBy("__one", "__two", "__times").agg(F.any_value("__row").alias("__row"))
+    rows = rows.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return rows.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])

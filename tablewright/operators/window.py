@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -31,6 +31,7 @@ WHOLE = ("first_value", "last_value", "nth_value")
 FILL = ("fill_down", "fill_up")
 MERGEABLE = ("sum", "mean", "average", "min", "max", "count", "product", "stdev", "variance")
 FRAMED = (*MERGEABLE, "mode", "median")
+SPREAD = ("stdev", "variance")
 RUNNING = (None, 0)
 TOTAL = (None, None)
 BLK = "__blk"
@@ -305,10 +306,10 @@ def prefix_medians(values, shift: int):
     return running[np.clip(np.arange(len(values)) + shift + 1, 0, len(values))]
 
 
-def _with_outputs(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
+def _with_outputs(df: DataFrame, outputs: dict[str, Column], names: Sequence[str]) -> DataFrame:
     return df.select(
-        *[outputs[c].alias(c) if c in outputs else ref(c) for c in df.columns],
-        *[v.alias(k) for k, v in outputs.items() if k not in df.columns],
+        *[outputs[c].alias(c) if c in outputs else ref(c) for c in names],
+        *[v.alias(k) for k, v in outputs.items() if k not in names],
     )
 
 
@@ -322,6 +323,9 @@ def plain_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: S
     items = [(n, d) for n, d in total_order(df, order_by) if n not in keys] or order_items(order_by)
     rows, back = group.orderBy(*sort_columns(items)), group.orderBy(*sort_columns(items, reverse=True))
     same_key = Window.partitionBy(*part, *[ref(n) for n, _ in order_items(order_by)])
+    names = df.columns
+    means = {c: F.coalesce(mean.over(group), F.lit(0.0)) for c, mean in _finite_means(specs).items()}
+    df, specs = _from_the_mean(df, specs, means)
     outputs = {}
     for s in specs:
         if s.fn in RANKING:
@@ -330,7 +334,24 @@ def plain_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: S
             outputs[s.out] = _frame_value(s, group if s.frame == TOTAL else _framed(rows, back, *s.frame))
         else:
             outputs[s.out] = _positional(df, s, rows, back)
-    return _with_outputs(df, outputs)
+    return _with_outputs(df, outputs, names)
+
+
+def _finite_means(specs: Sequence[Spec]) -> dict[str, Column]:
+    """Mean of the finite values of each column whose spread is framed."""
+    found = {}
+    for name in dict.fromkeys(s.column for s in specs if s.fn in SPREAD):
+        v = ref(name).cast("double")
+        found[name] = F.avg(F.when(F.abs(v) < F.lit(float("inf")), v))
+    return found
+
+
+def _from_the_mean(df: DataFrame, specs: Sequence[Spec], means: dict[str, Column]) -> tuple[DataFrame, list[Spec]]:
+    """Spreads of distances from the group's mean: values far from zero would lose the digits that differ."""
+    away = {c: f"__away{i}" for i, c in enumerate(means)}
+    finite = {c: F.when(F.abs(m) < F.lit(float("inf")), m).otherwise(F.lit(0.0)) for c, m in means.items()}
+    out = df.withColumns({name: ref(c).cast("double") - finite[c] for c, name in away.items()}) if away else df
+    return out, [replace(s, column=away[s.column]) if s.fn in SPREAD else s for s in specs]
 
 
 def _framed(rows, back, lo: int | None, hi: int | None):
@@ -420,6 +441,7 @@ def _hot_windows(df: DataFrame, specs, order_by: Order, keys: list[str], rows: i
 def block_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: Sequence[str]) -> DataFrame:
     """The same functions over a numbered table (``__rn``, ``__cnt``)."""
     keys, base = list(keys), [c for c in df.columns]
+    df, specs = _from_the_mean(*_with_means(df, specs, keys))
     if any(s.fn in PEER_RANKS for s in specs):
         df, rank_specs = _rank_marks(df, order_by, keys)
     else:
@@ -459,6 +481,19 @@ def block_windows(df: DataFrame, specs: Sequence[Spec], order_by: Order, keys: S
     return result.select(*[ranks[c].alias(c) if c in ranks else ref(c) for c in names])
 
 
+def _with_means(df: DataFrame, specs: Sequence[Spec], keys: list[str]):
+    """`_from_the_mean`'s arguments; the means are one row per group, by an aggregate."""
+    found = _finite_means(specs)
+    if not found:
+        return df, specs, {}
+    names = {c: f"__mean{i}" for i, c in enumerate(found)}
+    means = df.groupBy(*[ref(k) for k in keys]).agg(*[m.alias(names[c]) for c, m in found.items()])
+    if keys:
+        return attach(df, means, keys), specs, {c: F.coalesce(F.col(n), F.lit(0.0)) for c, n in names.items()}
+    row = means.first()
+    return df, specs, {c: F.lit(row[n] if row[n] is not None else 0.0) for c, n in names.items()}
+
+
 def _reach(s: Spec) -> tuple[int, int]:
     """Neighbour rows needed before and after a block."""
     if s.fn in OFFSET:

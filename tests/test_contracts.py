@@ -294,6 +294,19 @@ def test_columns_by_pattern(spark):
         op.rename(d, {"c": "a_x"})
 
 
+def test_copies_are_drawn_independently(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1.0)] * 50 + [("b", None)] * 50 + [("c", 2.0)], "t string, x double")
+    drawn = sorted_rows(op.sample(df, 50, seed=5))
+    assert len(drawn) == 50 and {"a", "b"} <= {r[0] for r in drawn} and all(sum(r == d for r in drawn) <= 50 for d in drawn)
+    assert drawn == sorted_rows(op.sample(df.repartition(7), 50, seed=5))
+    assert sorted_rows(op.sample(df, 500, seed=5)) == sorted_rows(df)
+    monkeypatch.setattr("tablewright.operators.rows.COPIES", 8)
+    assert drawn == sorted_rows(op.sample(df, 50, seed=5))
+    assert op.sample(df.limit(0), 5, seed=1).count() == 0 and op.sample(df, 0, seed=1).count() == 0
+    nested = df.withColumn("m", F.create_map("t", "x"))
+    assert op.sample(nested, 60, seed=2).count() == 60
+
+
 def test_sample(tables):
     a = sorted_rows(op.sample(tables.orders, 100, seed=1))
     assert a == sorted_rows(op.sample(tables.orders.repartition(5), 100, seed=1)) != sorted_rows(op.sample(tables.orders, 100, seed=2))

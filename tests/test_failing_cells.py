@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from helpers import rows, sorted_rows
 
@@ -96,6 +97,31 @@ def test_running_variance_with_a_large_offset(spark):
     assert all(a == b or math.isclose(a[0], b[0], rel_tol=1e-4) for a, b in zip(got[2:], want[2:]))
 
 
+@pytest.mark.parametrize("limit", ["2000000", "100"])
+def test_running_spread_keeps_ten_digits_far_from_zero(spark, limit):
+    near = np.array([(1e9 + i / 1000) - 1e9 for i in range(1200)])
+    df = spark.createDataFrame([(i, 1e9 + i / 1000) for i in range(1200)], "i long, x double")
+    frames = {"whole": (None, None), "near": (-9, 5), "rest": (0, None)}
+    spark.conf.set(HOT_ROWS_CONF, limit)
+    try:
+        found = op.window(df, {n: ("variance", "x") for n in ("run", *frames)}, ["i"], frames=frames).orderBy("i").collect()
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    for i in (9, 600, 1150):
+        want = {"run": near[: i + 1], "whole": near, "near": near[i - 9 : i + 6], "rest": near[i:]}
+        for name, values in want.items():
+            assert math.isclose(found[i][name], np.var(values, ddof=1), rel_tol=1e-10)
+
+
+def test_running_spread_with_missing_and_infinite_values(spark):
+    values = [None, 1.0, 3.0, None, float("nan"), 2.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, x double")
+    found = [r["s"] for r in op.window(df, {"s": ("variance", "x")}, ["i"]).orderBy("i").collect()]
+    assert found[:4] == [None, None, 2.0, 2.0] and all(math.isnan(x) for x in found[4:])
+    alone = spark.createDataFrame([(0, float("inf")), (1, 1.0)], "i long, x double")
+    assert [r["s"] for r in op.window(alone, {"s": ("count", "x"), "v": ("stdev", "x")}, ["i"]).orderBy("i").collect()] == [1, 2]
+
+
 @pytest.fixture
 def stored(cells, tmp_path):
     """The cells as a file: from a local relation Spark computes results while planning."""
