@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import partial
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -102,11 +103,13 @@ def _descend(text, column, positive, prior: float, width: int, penalty: float):
 
 def fit(tokens: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
     """Fits the weights on distinct token buckets of each text; ``positive`` marks the confirmed ones."""
-    size = np.array([len(t) for t in tokens])
-    text, bucket = np.repeat(np.arange(len(tokens)), size), np.concatenate(tokens).astype(np.int64)
+    bucket = np.concatenate(tokens)
+    text = np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens])
     common = np.bincount(bucket, minlength=BUCKETS) >= LEAST_TEXTS
-    text, bucket = text[common[bucket]], bucket[common[bucket]]
-    used, column = np.unique(bucket, return_inverse=True)
+    kept = common[bucket]
+    used, place = np.flatnonzero(common), np.cumsum(common, dtype=np.int32) - 1
+    text, column = text[kept], place[bucket[kept]]
+    del bucket, kept
     penalty = PENALTY / np.sqrt(positive.sum())  # as the noise of a token's share among the positives
     w, bias = _descend(text, column, positive, prior, len(used), penalty)
     # The penalty chooses the tokens but also shrinks them: those with weight are fitted again.
@@ -145,9 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not toxic.any() or toxic.all():
         return constant
     offsets, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+    del sample, tokens
     parts = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
     # The order of collected rows varies with the partitioning, and float sums with it.
-    order = sorted(range(len(parts)), key=lambda i: (toxic[i], parts[i].tobytes()))
+    order = sorted(range(len(parts)), key=lambda i: (toxic[i], sha256(parts[i]).digest()))
     return fit([parts[i] for i in order], toxic[order] == 1, prior)
 
 
