@@ -231,12 +231,16 @@ def _buffered(values: DataFrame, keys: Sequence[str], ps: Sequence[float]) -> Da
     return values.groupBy(*[ref(k) for k in keys]).agg(*at)
 
 
-def _narrowed(values: DataFrame, keys: Sequence[str], ps: Sequence[float], fewest: int) -> DataFrame:
-    """`large_percentiles` for groups of at least ``fewest`` values, counted in ``__cnt``."""
+def _narrowed(values: DataFrame, keys: Sequence[str], ps: Sequence[float], fewest: int, margin: float | None = None) -> DataFrame:
+    """`large_percentiles` for groups of at least ``fewest`` values, counted in ``__cnt``.
+
+    A sketch keeps its error bound only with high probability. If a percentile lies outside its bracket, the brackets are
+    widened and the pass is repeated; the widest go from the smallest value to the largest.
+    """
     from .window import window
 
     group = [ref(k) for k in keys]
-    margin = 2 / SKETCH_ACCURACY + 2 / fewest
+    margin = 2 / SKETCH_ACCURACY + 2 / fewest if margin is None else margin
     probes = [F.lit(min(max(p + side * margin, 0.0), 1.0)) for p in ps for side in (-1, 1)]
     sketch = values.groupBy(*group).agg(F.percentile_approx("__v", F.array(*probes), SKETCH_ACCURACY).alias("__q"))
     near = attach(values, sketch, keys) if keys else values.withColumn("__q", sketch.scalar())
@@ -248,9 +252,7 @@ def _narrowed(values: DataFrame, keys: Sequence[str], ps: Sequence[float], fewes
     cell = F.when(inside, v).otherwise(F.greatest(*passed) if len(passed) > 1 else passed[0])
     cells = near.groupBy(*group, CNT, cell.alias("__at"), (~inside).alias("__between")).agg(F.count(F.lit(1)).alias("__n"))
     ranked = window(stage(cells), {"__upto": ("sum", "__n")}, ["__at", "__between"], keys)
-    exact = F.when(~F.col("__between"), F.col("__at")).otherwise(
-        F.raise_error(F.lit("a percentile lies outside the sketch's bounds")).cast("double")
-    )
+    exact = F.when(~F.col("__between"), F.col("__at"))
     columns = []
     for i, p in enumerate(ps):
         rank = (F.col(CNT) - 1) * F.lit(float(p)) + 1
@@ -261,7 +263,11 @@ def _narrowed(values: DataFrame, keys: Sequence[str], ps: Sequence[float], fewes
 
         low, high = value_at(F.floor(rank)), value_at(F.ceil(rank))
         columns.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"p{i}"))
-    return ranked.groupBy(*group).agg(*columns)
+    found = stage(ranked.groupBy(*group).agg(*columns))
+    missed = functools.reduce(lambda a, b: a | b, [F.col(f"p{i}").isNull() for i in range(len(ps))])
+    if margin >= 1 or found.filter(missed).isEmpty():
+        return found
+    return _narrowed(values, keys, ps, fewest, min(1.0, 8 * margin + 1 / SKETCH_ACCURACY))
 
 
 # Value counts ---------------------------------------------------------------

@@ -187,8 +187,8 @@ def _block_medians(df: DataFrame, s: Spec, out: str, order, keys: list[str], row
 
     While a block adds m values to the N before it, the median moves among those of
     the N whose rank is within about m / 2 of N / 2. The values are ranked once and
-    cut into buckets; counts of (block, bucket), summed over the earlier blocks, name
-    the buckets that hold those ranks. A block task gets its own rows and the earlier
+    cut into buckets; a search in counts of (block, bucket) finds the buckets that hold
+    those ranks. A block task gets its own rows and the earlier
     values of these buckets: at most `hot_limit` rows in all. A frame that reaches the
     end counts positions from the end.
     """
@@ -202,7 +202,7 @@ def _block_medians(df: DataFrame, s: Spec, out: str, order, keys: list[str], row
     own = numbered.select(*group, block, F.col(at), F.nanvl(ref(s.column).cast("double"), F.lit(None)).alias(x))
     ranked = number_large(own.filter(F.col(x).isNotNull()), keys, UniqueOrder([x, at]), rows)
     ranked = ranked.select(*group, BLK, at, x, F.floor((F.col(RN) - 1) / size).cast("long").alias(bucket))
-    needs = _median_buckets(own, ranked, keys, bucket)
+    needs = _median_buckets(own, ranked, keys, bucket, x)
     # By position: the rows of one bucket lie together, and many blocks may need them.
     spread = ranked.repartition(*group, F.col(at)).withColumnRenamed(BLK, f"{BLK}_of")
     near = attach_needs(spread, needs, [*keys, bucket]).filter(F.col(f"{BLK}_of") < F.col(BLK))
@@ -233,34 +233,43 @@ def _block_medians(df: DataFrame, s: Spec, out: str, order, keys: list[str], row
     return joined.drop(at, RN, CNT)
 
 
-def _median_buckets(own: DataFrame, ranked: DataFrame, keys: list[str], bucket: str) -> DataFrame:
+def _median_buckets(own: DataFrame, ranked: DataFrame, keys: list[str], bucket: str, x: str) -> DataFrame:
     """(keys, bucket, block, __n, __below): the buckets of earlier values among which a block's medians move.
 
     ``__n`` counts the values before the block, ``__below`` those of them in lower buckets.
+    Each block asks for the buckets of two ranks among the values before it. All asks go down
+    the buckets together, halving what is left: a pass counts the earlier values in the lower
+    half by a running sum over blocks. A pass sorts the (block, bucket) counts once, no window
+    group exceeds three rows per block, and there are as many passes as bucket numbers have bits.
     """
-    group = [ref(k) for k in keys]
+    group, node = [ref(k) for k in keys], f"{bucket}_node"
     cells = stage(ranked.groupBy(*group, BLK, bucket).agg(F.count(F.lit(1)).alias("__here")))
-    blocks, buckets = own.select(*group, BLK).distinct(), cells.select(*group, bucket).distinct()
-    grid = attach_needs(blocks, buckets, keys)
-    cells = cells.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, BLK, bucket]})
-    cond = reduce(lambda a, b: a & b, [ref(k).eqNullSafe(ref(f"__k_{k}")) for k in [*keys, BLK, bucket]])
-    grid = grid.join(cells, cond, "left").select(*group, BLK, bucket, F.coalesce("__here", F.lit(0)).alias("__here"))
-    by_block, by_bucket = Window.partitionBy(*group, bucket).orderBy(BLK), Window.partitionBy(*group, BLK)
-    before = Window.unboundedPreceding
-    grid = grid.withColumn("__earlier", F.coalesce(F.sum("__here").over(by_block.rowsBetween(before, -1)), F.lit(0)))
-    grid = grid.select(
-        *group, BLK, bucket, "__earlier", F.sum("__earlier").over(by_bucket).alias("__n"), F.sum("__here").over(by_bucket).alias("__m"),
-        F.coalesce(F.sum("__earlier").over(by_bucket.orderBy(bucket).rowsBetween(before, -1)), F.lit(0)).alias("__below"),
-    ).filter("__earlier > 0")
+    depth = cells.agg(F.coalesce(F.max(bucket), F.lit(0))).first()[0].bit_length()
+    before = Window.partitionBy(*group).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = own.groupBy(*group, BLK).agg(F.count(ref(x)).alias("__m")).withColumn("__n", F.sum("__m").over(before)).filter("__n > 0")
     first = F.greatest(F.lit(1), F.floor((F.col("__n") - F.col("__m")) / 2))
     last = F.least(F.col("__n"), F.floor((F.col("__n") + F.col("__m")) / 2) + 1)
-    return grid.filter((F.col("__below") < last) & (F.col("__below") + F.col("__earlier") >= first)).select(*group, bucket, BLK, "__n", "__below")
+    zero = F.lit(0).cast("long")
+    asks = blocks.select(*group, BLK, "__n", F.explode(F.array(first, last)).alias("__rank"), zero.alias(node), zero.alias("__below"))
+    # Asks come before the counts of their own block.
+    earlier = Window.partitionBy(*group, node).orderBy(BLK, F.col("__rank").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    for level in range(depth - 1, -1, -1):
+        lower = cells.filter(F.shiftright(bucket, level).bitwiseAND(1) == 0)
+        lower = lower.groupBy(*group, BLK, F.shiftright(bucket, level + 1).alias(node)).agg(F.sum("__here").alias("__here"))
+        met = asks.withColumn("__here", zero).unionByName(lower, allowMissingColumns=True)
+        met = met.withColumn("__lower", F.sum("__here").over(earlier)).filter("__rank is not null")
+        up = F.col("__rank") > F.col("__below") + F.col("__lower")
+        asks = met.select(
+            *group, BLK, "__n", "__rank", (2 * F.col(node) + up.cast("long")).alias(node), (F.col("__below") + F.when(up, F.col("__lower")).otherwise(0)).alias("__below"),
+        )
+    found = asks.groupBy(*group, BLK, "__n").agg(F.sequence(F.min(node), F.max(node)).alias("__span"), F.min("__below").alias("__below"))
+    return found.select(*group, F.explode("__span").alias(bucket), BLK, "__n", "__below")
 
 
 def attach_needs(df: DataFrame, needs: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on null-safe keys with any number of matches; all pairs if there are no keys."""
+    """Inner join on null-safe keys, one at least, with any number of matches."""
     small = broadcast_if_small(needs.withColumnsRenamed({k: f"__k_{k}" for k in keys}))
-    cond = reduce(lambda a, b: a & b, [ref(k).eqNullSafe(ref(f"__k_{k}")) for k in keys], F.lit(True))
+    cond = reduce(lambda a, b: a & b, [ref(k).eqNullSafe(ref(f"__k_{k}")) for k in keys])
     return df.join(small, cond).drop(*[f"__k_{k}" for k in keys])
 
 

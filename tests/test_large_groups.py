@@ -1,6 +1,7 @@
 """The forms for groups larger than a task give what the one-task forms give."""
 
 import statistics
+from importlib import import_module
 
 import pytest
 from helpers import sorted_rows
@@ -112,6 +113,30 @@ def test_running_median_of_awkward_large_values(spark, value):
     assert plain == large and len(plain) == 400
 
 
+def test_running_median_has_no_cross_join(spark, skewed, tiny_groups, monkeypatch):
+    module = import_module("tablewright.operators.window")
+    needs = []
+    find = module._median_buckets
+    monkeypatch.setattr(module, "_median_buckets", lambda *args: needs.append(find(*args)) or needs[-1])
+    op.window(skewed, {"m": ("median", "v")}, "o")
+    plan = needs[0]._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and needs[0].count() > 50
+
+
+def test_percentiles_outside_their_brackets_are_found(spark, monkeypatch):
+    """Without a margin and with a coarse sketch the first brackets miss."""
+    module = import_module("tablewright.operators.aggregate")
+    monkeypatch.setattr(module, "SKETCH_ACCURACY", 5)
+    d = spark.range(0, 3000, 1, 7).selectExpr("id % 3 as g", "cast(pow(id, 1.5) as double) as __v", "1000L as __cnt")
+    passes = []
+    narrowed = module._narrowed
+    monkeypatch.setattr(module, "_narrowed", lambda *args: passes.append(args) or narrowed(*args))
+    got = {r[0]: tuple(r)[1:] for r in module._narrowed(d, ["g"], [0.5, 0.25], 1000, 0.0).collect()}
+    want = {r[0]: tuple(r)[1:] for r in module._buffered(d, ["g"], [0.5, 0.25]).collect()}
+    assert len(passes) > 1 and got.keys() == want.keys()
+    assert all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want)
+
+
 def test_running_product(spark, skewed):
     d = skewed.withColumn("w", 1 + F.col("v") / 1000)
     plain, large = both(spark, lambda: op.window(d, {"p": ("product", "w")}, "o"))
