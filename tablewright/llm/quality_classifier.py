@@ -5,7 +5,8 @@ and marks, the *metadata* view its source, language, length and layout. Both beg
 the labelled pages. In every round each classifier labels the pages of an unlabelled pool
 of which it is surest, in the proportion of the classes, and gives them to the other one to
 learn from. In the end each view is calibrated on labelled pages that took no part, and
-the calibrated views are added up as evidence. All pages are scored on the executors.
+the calibrated views are weighed against each other on the same pages. All pages are
+scored on the executors.
 """
 
 from __future__ import annotations
@@ -121,12 +122,42 @@ def platt(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)), float(b)
 
 
+def weigh(odds: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
+    """A weight for each column of calibrated log odds, and an offset: a logistic fit drawn towards equal weights.
+
+    Newton steps, halved until the loss falls. No weight is below zero: columns that would get one are left out.
+    """
+    n, k = odds.shape
+    x, start = np.column_stack([odds, np.ones(n)]), np.append(np.full(k, 1 / max(1, k)), 0.0)
+
+    def loss(beta):
+        z = x @ beta
+        return (np.logaddexp(0, z) - labels * z).sum() + ((beta - start) ** 2).sum() / 2
+
+    beta = start
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.eye(k + 1), x.T @ (p - labels) + beta - start)
+        while np.abs(step).max() > 1e-9 and loss(beta - step) > loss(beta):
+            step = step / 2
+        beta = beta - step
+        if np.abs(step).max() <= 1e-9:
+            break
+    kept = beta[:-1] > 0
+    if not kept.all():
+        *some, offset = weigh(odds[:, kept], labels)
+        weights = np.zeros(k)
+        weights[kept] = some
+        return (*weights.tolist(), offset)
+    return tuple(beta.tolist())
+
+
 @dataclass(frozen=True)
 class Model:
-    """Per view: weights, bias, slope and offset; and the log odds of good pages among the labels."""
+    """Per view: weights, bias, slope and offset; and the weights and the offset that combine the views' log odds."""
 
     views: tuple
-    prior: float
+    mix: tuple
 
 
 def co_train(content, metadata, labels: np.ndarray, rounds: int = ROUNDS) -> Model:
@@ -152,13 +183,16 @@ def co_train(content, metadata, labels: np.ndarray, rounds: int = ROUNDS) -> Mod
         for v, gift in gifts.items():
             known[v] |= gift
         fitted = {v: learn(v) for v in VIEWS}
-    views = tuple((*fitted[v], *platt(_logits(take(sides[v], kept), *fitted[v]), labels[kept])) for v in VIEWS)
-    return Model(views, float(np.log(share / (1 - share))))
+    z = [_logits(take(sides[v], kept), *fitted[v]) for v in VIEWS]
+    views = tuple((*fitted[v], *platt(own, labels[kept])) for v, own in zip(VIEWS, z))
+    odds = np.column_stack([np.clip(a * own + b, -30, 30) for own, (_, _, a, b) in zip(z, views)])
+    return Model(views, weigh(odds, labels[kept]))
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
     """Learns from ``labels`` (doc_id, quality) and an unlabelled pool of other documents, both drawn by a hash of the id.
 
+    Of rows that share a drawn id one is read, the first by text, source and language, so the bounds hold for rows too.
     With fewer than eight labelled pages, or pages of one class only, the scores are constant.
     """
     draw = lambda ids, n: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -166,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     marked = stage(draw(marked, labelled))
     others = docs.select("doc_id").filter("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
     wanted = stage(marked.union(draw(others, pool).withColumn("label", F.lit(-1))))  # at most labelled + pool ids
-    rows = docs.join(F.broadcast(wanted), "doc_id").select("label", "text", "source", "lang")
+    rows = docs.select("doc_id", F.struct("text", "source", "lang").alias("page")).join(F.broadcast(wanted), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("page").alias("page")).select("label", "page.*")
     found = stage(map_texts(rows, _features, "label int, content array<int>, metadata array<int>")).toArrow()
     label, sides = found.column("label").to_numpy(), []
     for v in VIEWS:
@@ -179,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     label = label[order]
     if (label >= 0).sum() < 8 or len(set(label[label >= 0][3::4])) < 2 or len(set(np.delete(label[label >= 0], np.s_[3::4]))) < 2:
         share = float((label == 1).sum() + 1) / float((label >= 0).sum() + 2)
-        return Model(tuple((np.zeros(BUCKETS), 0.0, 1.0, float(np.log(share / (1 - share)))) for _ in VIEWS), float(np.log(share / (1 - share))))
+        return Model(tuple((np.zeros(BUCKETS), 0.0, 1.0, float(np.log(share / (1 - share)))) for _ in VIEWS), (0.5, 0.5, 0.0))
     return co_train(*[[side[i] for i in order] for side in sides], label)
 
 
@@ -187,8 +222,7 @@ def _scored(batch: pa.RecordBatch, model):
     m, columns = model.value, [[], [], []]
     for _, content, metadata in _views(batch, 1):
         odds = [np.clip(a * _logits(s, w, bias) + b, -30, 30) for s, (w, bias, a, b) in zip((content, metadata), m.views)]
-        # Two views as independent evidence: their log odds add up, the prior counts once.
-        for k, z in enumerate([*odds, odds[0] + odds[1] - m.prior]):
+        for k, z in enumerate([*odds, m.mix[0] * odds[0] + m.mix[1] * odds[1] + m.mix[2]]):
             columns[k].append(1 / (1 + np.exp(-z)))
     flat = [pa.array(np.concatenate(c) if c else np.zeros(0)) for c in columns]
     return pa.RecordBatch.from_arrays([batch.column(0), *flat], ["doc_id", "content_score", "metadata_score", "score"])

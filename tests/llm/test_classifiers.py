@@ -3,8 +3,9 @@ import zlib
 import numpy as np
 import pytest
 
+from tablewright.llm import quality_classifier as quality_module
 from tablewright.llm import toxicity as toxicity_module
-from tablewright.llm.quality_classifier import platt, quality
+from tablewright.llm.quality_classifier import BUCKETS, co_train, logistic, platt, quality, weigh
 from tablewright.llm.toxicity import clean_documents, fit, score, toxicity, train
 
 DATA = "/root/testdata/sf0.01"
@@ -99,3 +100,56 @@ def test_calibration():
     z = rng.normal(size=4000)
     labels = (rng.random(4000) < 1 / (1 + np.exp(-(2 * z - 1)))).astype(int)
     assert platt(z, labels) == pytest.approx((2, -1), abs=0.2)
+
+
+def test_views_are_weighed_by_what_they_tell():
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 2, 4000)
+    telling, noise = 3 * (2 * labels - 1) + rng.normal(0, 2, 4000), rng.normal(0, 1, 4000)
+    a, b, c = weigh(np.column_stack([telling, noise]), labels)
+    assert 1 < a < 2 and b < 0.2 and abs(c) < 0.3
+    # The fit is stationary: by finite differences no small change lowers the penalised loss.
+    x, start = np.column_stack([telling, -noise, np.ones(4000)]), np.array([0.5, 0.5, 0])
+    fit_ = np.array(weigh(x[:, :2], labels))
+    loss = lambda w: (np.logaddexp(0, x @ w) - labels * (x @ w)).sum() + ((w - start) ** 2).sum() / 2
+    if (fit_[:2] > 0).all():
+        assert all(loss(fit_ + d) >= loss(fit_) - 1e-9 for d in 1e-4 * np.concatenate([np.eye(3), -np.eye(3)]))
+    separable = weigh(np.column_stack([20.0 * (2 * labels - 1), noise]), labels)
+    assert np.isfinite(separable).all()
+
+
+def test_one_round_of_co_training_by_hand():
+    """Each view's surest pool pages, in the classes' proportion, are added to what the other learns from."""
+    rng = np.random.default_rng(5)
+    truth = rng.integers(0, 2, 300)
+    content = [np.unique(rng.integers(0, 40, 8) + 100 * t) for t in truth]
+    metadata = [np.unique(rng.integers(0, 30, 4) + 1000 + 15 * t) for t in truth]
+    labels = np.where(np.arange(300) < 80, truth, -1)
+    model = co_train(content, metadata, labels, rounds=1)
+    marked = list(range(80))
+    train_rows, share, each = [i for i in marked if i % 4 != 3], truth[:80].mean(), max(2, int(quality_module.GIVEN * 220))
+    for own, other, k in ((content, metadata, 1), (metadata, content, 0)):
+        w, bias = logistic([own[i] for i in train_rows], truth[train_rows].astype(float))
+        sure = sorted(range(80, 300), key=lambda i: bias + w[own[i]].sum() / np.sqrt(len(own[i])))
+        bad, good = sure[: int(each * (1 - share))], sure[-int(each * share) :]
+        rows = [*train_rows, *bad, *good]
+        want = logistic([other[i] for i in rows], np.array([*truth[train_rows], *[0] * len(bad), *[1] * len(good)], float))
+        assert np.allclose(model.views[k][0], want[0], atol=1e-6) and model.views[k][1] == pytest.approx(want[1], abs=1e-6)
+    assert len(model.views[0][0]) == BUCKETS and len(model.mix) == 3
+
+
+def test_repeated_ids_do_not_exceed_the_pool(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    many = docs.unionByName(spark.range(400).selectExpr("7L as doc_id", "concat('some ', id) as text", "'en' as lang", "'s0' as source"))
+    seen = []
+    monkeypatch.setattr(quality_module, "co_train", lambda c, m, label: seen.append(len(label)) or co_train(c, m, label))
+    quality_module.train(many, labels, 200, 301)
+    assert seen == [500]
+
+
+def test_no_view_alone_is_better_than_both(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = quality(docs, labels).filter("held_out").join(labels.filter("quality in (0, 1)").select("doc_id", "quality"), "doc_id").collect()
+    right = {c: np.mean([(r[c] >= 0.5) == (r["quality"] == 1) for r in found]) for c in ("content_score", "metadata_score", "score")}
+    assert right["score"] >= max(right["content_score"], right["metadata_score"])
