@@ -250,12 +250,13 @@ def _narrowed(values: DataFrame, keys: Sequence[str], ps: Sequence[float], fewes
     passed = [F.when(hi < v, hi) for _, hi in brackets]
     # Values between brackets become one cell, placed behind the bracket they passed.
     cell = F.when(inside, v).otherwise(F.greatest(*passed) if len(passed) > 1 else passed[0])
-    cells = near.groupBy(*group, CNT, cell.alias("__at"), (~inside).alias("__between")).agg(F.count(F.lit(1)).alias("__n"))
+    # The window numbers large groups in a `__cnt` of its own, so the count of values goes by another name.
+    cells = near.groupBy(*group, F.col(CNT).alias("__all"), cell.alias("__at"), (~inside).alias("__between")).agg(F.count(F.lit(1)).alias("__n"))
     ranked = window(stage(cells), {"__upto": ("sum", "__n")}, ["__at", "__between"], keys)
     exact = F.when(~F.col("__between"), F.col("__at"))
     columns = []
     for i, p in enumerate(ps):
-        rank = (F.col(CNT) - 1) * F.lit(float(p)) + 1
+        rank = (F.col("__all") - 1) * F.lit(float(p)) + 1
 
         def value_at(r: Column) -> Column:
             holds = (F.col("__upto") >= r) & (F.col("__upto") - F.col("__n") < r)

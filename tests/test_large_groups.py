@@ -137,6 +137,17 @@ def test_percentiles_outside_their_brackets_are_found(spark, monkeypatch):
     assert all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want)
 
 
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_percentiles_with_more_cells_than_the_hot_limit(spark, tiny_groups, monkeypatch, keys):
+    """A wide bracket keeps so many different values that their running sum is itself a large group."""
+    module = import_module("tablewright.operators.aggregate")
+    monkeypatch.setattr(module, "SKETCH_ACCURACY", 20)
+    d = spark.range(0, 3000, 1, 7).selectExpr("id % 3 as g", "cast(pow(id, 1.5) as double) as v")
+    got = sorted_rows(op.aggregate(d, {"m": ("median", "v")}, keys))
+    want = d.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    assert got == sorted_rows(want)
+
+
 def test_running_product(spark, skewed):
     d = skewed.withColumn("w", 1 + F.col("v") / 1000)
     plain, large = both(spark, lambda: op.window(d, {"p": ("product", "w")}, "o"))
