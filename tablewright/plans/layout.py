@@ -109,10 +109,18 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataF
     return df.join(marks, cond, "left_anti"), df.join(marks, cond, "left_semi")
 
 
+def range_partitions(spark: SparkSession, rows: int) -> int:
+    """As many as a shuffle has, more only for very large tables.
+
+    A range partition is sorted with spilling and is no group of a task, so a low hot limit makes no more of them:
+    Spark samples some hundred rows per partition to the driver for the bounds.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // max(hot_limit(spark), HOT_ROWS_DEFAULT)))
+
+
 def laid_out(df: DataFrame, order: Sequence[tuple[str, bool]], rows: int) -> DataFrame:
     """Range partitioned and sorted by ``order``, written, with partition and offset."""
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // hot_limit(spark)))
+    parts = range_partitions(df.sparkSession, rows)
     keys = range_columns(df, order) or [F.lit(0)]
     ordered = df.repartitionByRange(min(parts, SMALL_ROWS), *keys).sortWithinPartitions(*sort_columns(order))
     return stage(

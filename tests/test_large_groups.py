@@ -148,6 +148,19 @@ def test_percentiles_with_more_cells_than_the_hot_limit(spark, tiny_groups, monk
     assert got == sorted_rows(want)
 
 
+def test_range_partitions_do_not_follow_a_low_limit(spark, tiny_groups, monkeypatch):
+    """Bounds are sampled to the driver by the partition: one per 40 rows would send it more rows than the table has."""
+    layout = import_module("tablewright.plans.layout")
+    assert layout.range_partitions(spark, 36_000_000) == 18
+    out = layout.number_large(spark.range(0, 5000, 1, 3), [], UniqueOrder(["id"]), 5000)
+    assert out.filter(F.col("__rn") != F.col("id") + 1).isEmpty() and out.count() == 5000
+    written = []
+    stage = layout.stage
+    monkeypatch.setattr(layout, "stage", lambda df: written.append(df.rdd.getNumPartitions()) or stage(df))
+    layout.laid_out(spark.range(0, 5000, 1, 3), [("id", False)], 5000)
+    assert written == [4]
+
+
 def test_running_product(spark, skewed):
     d = skewed.withColumn("w", 1 + F.col("v") / 1000)
     plain, large = both(spark, lambda: op.window(d, {"p": ("product", "w")}, "o"))
