@@ -16,6 +16,8 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,8 @@ SPREAD = ("stdev", "variance")
 RUNNING = (None, 0)
 TOTAL = (None, None)
 BLK = "__blk"
+MEDIAN_ROWS = 250_000  # most rows whose running median one Python worker computes
+RANK_BITS = 4  # bits of a bucket's number that one pass of the search settles
 
 
 @dataclass(frozen=True)
@@ -154,8 +158,8 @@ def _running_mode(df: DataFrame, s: Spec, out: str, order, keys: list[str]) -> D
 
 
 def _running_median(df: DataFrame, s: Spec, out: str, order, keys: list[str]) -> DataFrame:
-    """Two heaps: one task per group, or per block of a group above the hot limit."""
-    hot = hot_groups(df, keys)
+    """Two heaps: one task per group, or per block of a group above the hot limit or what Python should hold."""
+    hot = hot_groups(df, keys, median_rows(df))
     if hot is None:
         return _group_medians(df, s, out, order, keys)
     if not keys:
@@ -165,6 +169,10 @@ def _running_median(df: DataFrame, s: Spec, out: str, order, keys: list[str]) ->
     return _group_medians(cold_rows, s, out, order, keys).unionByName(_block_medians(hot_rows, s, out, order, keys, rows))
 
 
+def median_rows(df: DataFrame) -> int:
+    return min(hot_limit(df.sparkSession), MEDIAN_ROWS)
+
+
 def _group_medians(df: DataFrame, s: Spec, out: str, order, keys: list[str]) -> DataFrame:
     lo, hi = s.frame
     position = f"{out}_rn"
@@ -189,12 +197,12 @@ def _block_medians(df: DataFrame, s: Spec, out: str, order, keys: list[str], row
     the N whose rank is within about m / 2 of N / 2. The values are ranked once and
     cut into buckets; a search in counts of (block, bucket) finds the buckets that hold
     those ranks. A block task gets its own rows and the earlier
-    values of these buckets: at most `hot_limit` rows in all. A frame that reaches the
+    values of these buckets: at most `median_rows` rows in all. A frame that reaches the
     end counts positions from the end.
     """
     lo, hi = s.frame
     shift = hi if lo is None else -lo
-    size = max(1, hot_limit(df.sparkSession) // 4 - 1)
+    size = max(1, median_rows(df) // 4 - 1)
     at, x, bucket, group = f"{out}_at", f"{out}_x", f"{out}_bucket", [ref(k) for k in keys]
     place = F.col(RN) if lo is None else F.col(CNT) - F.col(RN) + 1
     numbered = number_large(df, keys, order, rows).withColumn(at, place)
@@ -211,13 +219,16 @@ def _block_medians(df: DataFrame, s: Spec, out: str, order, keys: list[str], row
     fields = [df.schema[k] for k in keys] + [T.StructField(at, T.LongType()), T.StructField(out, T.DoubleType())]
 
     def medians(rows):
-        mine = rows[at].notna()
-        added, earlier = rows[mine].sort_values(at), rows[~mine]
-        n, below = (int(earlier["__n"].iloc[0]), int(earlier["__below"].min())) if len(earlier) else (0, 0)
-        added[out] = continued_medians(np.sort(earlier[x].to_numpy()), n, below, added[x].to_numpy())
-        return added[[*keys, at, out]].astype({at: "int64"})
-
-    found = stage(tasks.groupBy(*group, F.col(BLK)).applyInPandas(medians, T.StructType(fields)))
+        places, values = rows[at].fill_null(0).to_numpy(), rows[x].to_numpy()
+        mine = places > 0
+        by_place = np.argsort(places[mine])
+        n, below = pc.max(rows["__n"]).as_py() or 0, pc.min(rows["__below"]).as_py() or 0
+        running = continued_medians(np.sort(values[~mine]), n, below, values[mine][by_place])
+        done = rows.select(keys).slice(0, len(running))
+        done = [*done.columns, pa.array(places[mine][by_place]), pa.array(running, from_pandas=True)]
+        return pa.table(done, names=[*keys, at, out])
+
+    found = stage(tasks.groupBy(*group, F.col(BLK)).applyInArrow(medians, T.StructType(fields)))
     if shift == 0:
         return attach_rows(numbered, found, [*keys, at]).drop(at, RN, CNT)
     # A row takes the median at its frame's end; places outside the group match none and differ, to spread the rows.
@@ -238,9 +249,9 @@ def _median_buckets(own: DataFrame, ranked: DataFrame, keys: list[str], bucket:
 
     ``__n`` counts the values before the block, ``__below`` those of them in lower buckets.
     Each block asks for the buckets of two ranks among the values before it. All asks go down
-    the buckets together, halving what is left: a pass counts the earlier values in the lower
-    half by a running sum over blocks. A pass sorts the (block, bucket) counts once, no window
-    group exceeds three rows per block, and there are as many passes as bucket numbers have bits.
+    the buckets together, `RANK_BITS` of a bucket's number at a time: a pass counts the earlier
+    values in the lower parts by running sums over blocks. A pass sorts the (block, bucket)
+    counts once, and no window group exceeds three rows per block.
     """
     group, node = [ref(k) for k in keys], f"{bucket}_node"
     cells = stage(ranked.groupBy(*group, BLK, bucket).agg(F.count(F.lit(1)).alias("__here")))
@@ -253,15 +264,21 @@ def _median_buckets(own: DataFrame, ranked: DataFrame, keys: list[str], bucket:
     asks = blocks.select(*group, BLK, "__n", F.explode(F.array(first, last)).alias("__rank"), zero.alias(node), zero.alias("__below"))
     # Asks come before the counts of their own block.
     earlier = Window.partitionBy(*group, node).orderBy(BLK, F.col("__rank").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    for level in range(depth - 1, -1, -1):
-        lower = cells.filter(F.shiftright(bucket, level).bitwiseAND(1) == 0)
-        lower = lower.groupBy(*group, BLK, F.shiftright(bucket, level + 1).alias(node)).agg(F.sum("__here").alias("__here"))
-        met = asks.withColumn("__here", zero).unionByName(lower, allowMissingColumns=True)
-        met = met.withColumn("__lower", F.sum("__here").over(earlier)).filter("__rank is not null")
-        up = F.col("__rank") > F.col("__below") + F.col("__lower")
-        asks = met.select(
-            *group, BLK, "__n", "__rank", (2 * F.col(node) + up.cast("long")).alias(node), (F.col("__below") + F.when(up, F.col("__lower")).otherwise(0)).alias("__below"),
-        )
+    left = depth
+    while left > 0:
+        bits = min(RANK_BITS, left)
+        left -= bits
+        part = F.shiftright(bucket, left).bitwiseAND((1 << bits) - 1)
+        lower = [f"__lower{i}" for i in range(1, 1 << bits)]
+        sums = [F.sum(F.when(part < i, F.col("__here")).otherwise(0)).alias(c) for i, c in enumerate(lower, 1)]
+        counted = cells.groupBy(*group, BLK, F.shiftright(bucket, left + bits).alias(node)).agg(*sums)
+        met = asks.withColumns(dict.fromkeys(lower, zero)).unionByName(counted, allowMissingColumns=True)
+        met = met.select(*group, BLK, "__n", "__rank", node, "__below", *[F.sum(c).over(earlier).alias(c) for c in lower]).filter("__rank is not null")
+        # The part that holds the rank: as many lower sums as lie below it.
+        passed = [F.col("__rank") > F.col("__below") + F.col(c) for c in lower]
+        child = reduce(lambda a, b: a + b, [p.cast("long") for p in passed])
+        skipped = F.greatest(zero, *[F.when(p, F.col(c)) for p, c in zip(passed, lower)])
+        asks = met.select(*group, BLK, "__n", "__rank", (F.col(node) * (1 << bits) + child).alias(node), (F.col("__below") + skipped).alias("__below"))
     found = asks.groupBy(*group, BLK, "__n").agg(F.sequence(F.min(node), F.max(node)).alias("__span"), F.min("__below").alias("__below"))
     return found.select(*group, F.explode("__span").alias(bucket), BLK, "__n", "__below")
 

@@ -113,6 +113,20 @@ def test_running_median_of_awkward_large_values(spark, value):
     assert plain == large and len(plain) == 400
 
 
+def test_running_median_blocks_hold_few_rows_in_python(spark, skewed, monkeypatch):
+    """A group far below the hot limit is cut into blocks too; keys of any type come back, and a frame without values is null."""
+    module = import_module("tablewright.operators.window")
+    d = skewed.withColumns({"day": F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 2 as int))"), "d": F.expr("if(id % 2 = 0, null, 1.50bd)")})
+    d = d.withColumn("v", F.when(F.col("o") > 90, F.col("v")))
+    build = lambda: op.window(d, {"m": ("median", "v")}, "o", ["day", "d"])
+    plain = sorted_rows(build())
+    monkeypatch.setattr(module, "MEDIAN_ROWS", 60)
+    sizes = []
+    blocks = module._block_medians
+    monkeypatch.setattr(module, "_block_medians", lambda *args: sizes.append(module.median_rows(args[0])) or blocks(*args))
+    assert sorted_rows(build()) == plain and sizes == [60] and any(r[-1] is None for r in plain)
+
+
 def test_running_median_has_no_cross_join(spark, skewed, tiny_groups, monkeypatch):
     module = import_module("tablewright.operators.window")
     needs = []
